@@ -44,22 +44,22 @@ def balanced_shards(documents: DataFrame, n_shards: int = 40, rounds: int = 6, s
     # the state of the linked documents: how many of each node stand on each shard
     state = C.cut(linked.groupBy(*node, "label").agg(F.count("*").alias("n")))
     bucket = F.pmod(F.xxhash64(*node), F.lit(quota_buckets)).cast("int")
-    for _ in range(rounds):
+    for turn in range(rounds):
         best = state.groupBy(*node).agg(F.max(F.struct("n", F.xxhash64("label", "g", "chunk").alias("tie"), "label")).alias("b"), F.sum("n").alias("all"))
         moves = best.select(*node, F.col("b.label").alias("to"), (F.col("all") - F.col("b.n")).alias("coming"), bucket.alias("bucket")).where("coming > 0")
         load = {r["label"]: r["n"] for r in fixed.union(state.groupBy("label").agg(F.sum("n"))).toDF("label", "n").groupBy("label").agg(F.sum("n").alias("n")).collect()}
         asked = moves.groupBy("to", "bucket").agg(F.sum("coming").alias("n")).collect()  # at most n_shards * quota_buckets rows
         if not asked:
             break
-        let_in, left = [], {s: capacity - load.get(s, 0) for s in range(n_shards)}
-        for r in sorted(asked, key=lambda r: (r["to"], r["bucket"])):
-            if r["n"] <= left[r["to"]]:
-                left[r["to"]] -= r["n"]
-                let_in.append((r["to"], r["bucket"]))
-        if not let_in:
-            break
-        gates = F.broadcast(documents.sparkSession.createDataFrame(let_in, "to int, bucket int"))
-        target = moves.join(gates, ["to", "bucket"]).select(*node, "to")
+        # each target lets in the hash buckets up to the first that its quota can't hold, from another one on each round
+        upto, room = {}, {s: capacity - load.get(s, 0) for s in range(n_shards)}
+        for r in sorted(asked, key=lambda r: (r["to"], (r["bucket"] - turn * 97) % quota_buckets)):
+            if r["to"] not in upto and r["n"] <= room[r["to"]]:
+                room[r["to"]] -= r["n"]
+            else:
+                upto.setdefault(r["to"], (r["bucket"] - turn * 97) % quota_buckets)
+        limits = F.array(*(F.lit(upto.get(s, quota_buckets)) for s in range(n_shards)))
+        target = moves.where(F.pmod(F.col("bucket") - turn * 97, F.lit(quota_buckets)) < F.get(limits, F.col("to"))).select(*node, "to")
         state = C.cut(state.join(target, node, "left").select(*node, F.coalesce("to", "label").alias("label"), "n")
                       .groupBy(*node, "label").agg(F.sum("n").alias("n")))
     # documents follow their node: those that its shards have room for, in hash order
