@@ -255,7 +255,8 @@ def codec(path: str) -> Codec:
 
 
 def encode_decode(documents: DataFrame, path: str) -> DataFrame:
-    """Rows (doc_id, ids array<int>, decoded string), one per input row, no shuffle.
+    """Rows (doc_id, ids binary, decoded string), one per input row, no shuffle; ids are little-endian
+    unsigned 32-bit integers (see `unpacked`).
 
     Null and empty texts give no ids and an empty text.  Other columns are not read.  Memory: one small
     piece of a batch, a bounded memo of pre-tokens, and the longest text.
@@ -263,19 +264,19 @@ def encode_decode(documents: DataFrame, path: str) -> DataFrame:
 
     def run(frames):
         own = codec(path)
-        for pdf in C.pieces(frames, 512, 4 << 20):
+        for pdf in C.pieces(frames, 256, 1 << 20):
             ids = [own.encode(t) if isinstance(t, str) else np.empty(0, "<u4") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype(np.int32) for x in ids], "decoded": [own.decode(x) for x in ids]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.tobytes() for x in ids], "decoded": [own.decode(x) for x in ids]})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, ids array<int>, decoded string")
+        run, "doc_id long, ids binary, decoded string")
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 def with_digests(encoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode_decode returns."""
-    @F.pandas_udf("binary")
-    def little(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: np.asarray(x, "<u4").tobytes())
-
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little("ids"), 256).alias("ids_sha256"),
+    return encoded.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
