@@ -223,11 +223,33 @@ def unsqueeze(b: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def by_fragment(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of h by fragment (top bits), stable, and where each fragment begins."""
-    frag = (h >> np.uint64(64 - (n - 1).bit_length())).astype(np.int64) if n > 1 else np.zeros(len(h), np.int64)
-    order = np.argsort(frag, kind="stable")
-    return order, np.searchsorted(frag[order], np.arange(n + 1))
+def squeeze_sorted(h: np.ndarray) -> np.ndarray:
+    """The low 48 bits of values sorted by these: the first, then differences of five bytes, or of six where one is large."""
+    low = h.astype("<u8") & np.uint64((1 << 48) - 1)
+    step = np.diff(low)
+    width = 5 if not len(step) or int(step.max()) < 1 << 40 else 6
+    body = step.view(np.uint8).reshape(-1, 8)[:, :width].reshape(-1)
+    return np.concatenate([np.full(min(1, len(low)), width, np.uint8), low[:1].view(np.uint8), body])
+
+
+def unsqueeze_sorted(b: np.ndarray) -> np.ndarray:
+    if not len(b):
+        return np.empty(0, np.uint64)
+    width = int(b[0])
+    out = np.zeros((1 + (len(b) - 9) // width, 8), np.uint8)
+    out[0] = b[1:9]
+    out[1:, :width] = b[9:].reshape(-1, width)
+    return np.cumsum(out.reshape(-1).view("<u8").astype(np.uint64), dtype=np.uint64)
+
+
+def placed(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes as fragment (of n, by the top bits) above their low 48 bits."""
+    return (h & np.uint64((1 << 48) - 1)) | ((h >> np.uint64(64 - (n - 1).bit_length())) << np.uint64(48))
+
+
+def fragment_starts(placed_: np.ndarray, n: int) -> np.ndarray:
+    """Where each fragment of sorted placed hashes begins."""
+    return np.searchsorted(placed_, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
 
 
 def batch_key() -> int:

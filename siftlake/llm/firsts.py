@@ -20,22 +20,19 @@ WIRE = "batch long, frag int, blob binary"
 
 
 def _send(items: Callable, n_frag: int, batch_rows: int, batch_bytes: int):
-    bits = (n_frag - 1).bit_length()
-
     def run(frames):
         key = C.batch_key()
         for pdf in C.pieces(frames, batch_rows, batch_bytes):
             doc, pos, h = items(pdf)  # doc ids, positions and hashes, in any order
+            h = C.placed(h, n_frag)
             order = np.lexsort((pos, doc, h))
             doc, pos, h = doc[order], pos[order], h[order]
             new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
             times = np.diff(np.r_[np.flatnonzero(new), len(h)])
             many = np.repeat(times > 1, times)
-            low = (h & np.uint64((1 << 48) - 1)) | ((h >> np.uint64(64 - bits)) << np.uint64(48))
-            out = [(key, -1 - key % n_frag, C.pack(doc[many], pos[many], low[many]))]
+            out = [(key, -1 - key % n_frag, C.pack(doc[many], pos[many], h[many]))]
             doc, pos, h, times = doc[new], pos[new], h[new], times.astype(np.uint32)
-            order, begin = C.by_fragment(h, n_frag)
-            doc, pos, h, times = doc[order], pos[order], h[order], times[order]
+            begin = C.fragment_starts(h, n_frag)
             for f in np.flatnonzero(np.diff(begin)):
                 s = slice(begin[f], begin[f + 1])
                 back = np.lexsort((pos[s], doc[s]))  # documents together: their ids pack well

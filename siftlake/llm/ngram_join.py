@@ -6,24 +6,34 @@ batch, so that a shingle of every document costs one entry a batch.  A fragment
 each document's shingles that also occur elsewhere; the parts are summed per document.  A document
 with too few shared shingles to reach the threshold with anyone is settled there.
 
-For the others, copies of one set fold into a class.  Classes that share a shingle of their prefix
-(exact prefix filter over the same order) are compared: their overlaps are counted per fragment and
-summed per pair.  Within a prefix bucket each class is first compared with one pivot; members that
-are then in one component need no more pairs, so a bucket of g near copies costs g pairs.  Buckets
-that still hold several components go on with the next pivots, and at the end with all remaining
-pairs between components, so no link between components is lost.
+For the others, copies of one set fold into a class.  Classes that share a shingle
+of their prefix (exact prefix filter over the same order) are candidates: their overlaps are counted
+per fragment and summed per pair.  Within a prefix bucket each class is first compared with one pivot;
+members that are then in one component need no more pairs, so a bucket of g near copies costs g pairs.
+In buckets that still hold several components, the pairs between components follow, each in the first
+bucket that it shares.  A parity sketch of each set bounds the symmetric difference from below, so that
+only pairs that can reach the threshold leave the join; no link between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 _LAST = 48
+_SKETCH = 16  # words of 64 bits
+
+
+def _parity(h: np.ndarray) -> np.ndarray:
+    """Bit b is how often the set's hashes hit b, modulo 2; of two sketches, the bits that differ number at
+    most the hashes that are in one set only."""
+    at = C.mix(h.astype(np.uint64)) & np.uint64(64 * _SKETCH - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _shingles(texts: list[bytes], n: int):
@@ -60,20 +70,19 @@ def _send(n: int, n_frag: int, batch_rows: int, batch_bytes: int):
             one, two = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             np.add.at(one, docs, C.mix(hs ^ np.uint64(0x5851F42D4C957F2D)))
             np.add.at(two, docs, C.mix(hs + np.uint64(0x14057B7EF767814F)))
+            hs = C.placed(hs, n_frag)
             order = np.argsort(hs, kind="stable")
-            docs, hs = docs[order], hs[order]
+            docs, hs = docs[order].astype(np.uint16), hs[order]
             new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.empty(0, bool)
             times = np.diff(np.r_[np.flatnonzero(new), len(hs)])
             many = np.repeat(times > 1, times)
-            out = [(key, -1 - key % n_frag, C.pack(ids, size, one, two, docs[many].astype(np.uint16), hs[many]))]
-            single, sdoc, mult, mtimes = hs[~many], docs[~many].astype(np.uint16), hs[new][times > 1], times[times > 1]
-            so, sb = C.by_fragment(single, n_frag)
-            mo, mb = C.by_fragment(mult, n_frag)
-            single, sdoc, mult, mtimes = single[so], sdoc[so], mult[mo], mtimes[mo].astype(np.uint32)
+            out = [(key, -1 - key % n_frag, C.pack(ids, size, one, two, docs[many], hs[many]))]
+            single, sdoc, mult, mtimes = hs[~many], docs[~many], hs[new][times > 1], times[times > 1].astype(np.uint32)
+            sb, mb = C.fragment_starts(single, n_frag), C.fragment_starts(mult, n_frag)
             for f in range(n_frag):
                 s, m = slice(sb[f], sb[f + 1]), slice(mb[f], mb[f + 1])
                 if s.start < s.stop or m.start < m.stop:
-                    out.append((key, f, C.pack(C.squeeze(single[s]), sdoc[s], C.squeeze(mult[m]), mtimes[m])))
+                    out.append((key, f, C.pack(C.squeeze_sorted(single[s]), sdoc[s], C.squeeze_sorted(mult[m]), mtimes[m])))
             yield pd.DataFrame(out, columns=["batch", "frag", "blob"])
             key += 1
 
@@ -85,22 +94,22 @@ def _fragment(key, pdf):
     if key[0] < 0:
         return pdf
     parts = [C.unpack(b) for b in pdf["blob"]]
-    hs = [C.unsqueeze(x) for p in parts for x in (p[0], p[2])]
+    hs = [C.unsqueeze_sorted(x) for p in parts for x in (p[0], p[2])]
     times = [t for p in parts for t in (np.ones(len(p[1]), np.uint32), p[3])]
     sizes = [len(x) for x in hs]
     h = np.concatenate(hs)
     order = np.argsort(h, kind="stable")
     sorted_h = h[order]
     group = np.cumsum(np.r_[0, sorted_h[1:] != sorted_h[:-1]]) if len(h) else np.empty(0, np.int64)
-    total = np.bincount(group, weights=np.concatenate(times)[order]).astype(np.uint32)
-    df = np.empty(len(h), np.uint32)
+    total = np.bincount(group, weights=np.concatenate(times)[order]).clip(0, 65535).astype(np.uint16)
+    df = np.empty(len(h), np.uint16)
     df[order] = total[group]
     at, out = 0, []
     for i, batch in enumerate(pdf["batch"]):
         a, b = at + sizes[2 * i], at + sizes[2 * i] + sizes[2 * i + 1]
         shared = np.flatnonzero(df[at:a] >= 2)
         if len(shared) or b > a:
-            out.append((batch, key[0], C.pack(h[at:a][shared], parts[i][1][shared], df[at:a][shared], h[a:b], df[a:b])))
+            out.append((batch, key[0], C.pack(C.squeeze_sorted(h[at:a][shared]), parts[i][1][shared], df[at:a][shared], h[a:b], df[a:b])))
         at = b
     return pd.DataFrame(out, columns=["batch", "frag", "blob"])
 
@@ -110,7 +119,7 @@ def _gather(n_frag: int, percent: int):
 
     def run(key, pdf):
         docs, hs, dfs = [], [], []
-        multi_h, multi_df = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        multi_h, multi_df = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)]
         ids = size = one = two = None
         for frag, blob in zip(pdf["frag"], pdf["blob"], strict=True):
             part = C.unpack(blob)
@@ -119,16 +128,15 @@ def _gather(n_frag: int, percent: int):
             else:
                 lead = np.uint64(frag) << top
                 docs.append(part[1].astype(np.int64))
-                hs.append(part[0] | lead)
+                hs.append(C.unsqueeze_sorted(part[0]) | lead)
                 dfs.append(part[2])
                 multi_h.append(part[3] | lead)
                 multi_df.append(part[4])
-        mh = (mh & np.uint64((1 << _LAST) - 1)) | ((mh >> np.uint64(64 - (n_frag - 1).bit_length())) << top)
         known, counts = np.concatenate(multi_h), np.concatenate(multi_df)
         order = np.argsort(known)
         docs.append(mdoc.astype(np.int64))
         hs.append(mh)
-        dfs.append(counts[order][np.searchsorted(known[order], mh)] if len(known) else np.empty(0, np.uint32))
+        dfs.append(counts[order][np.searchsorted(known[order], mh)] if len(known) else np.empty(0, np.uint16))
         doc, h, df = np.concatenate(docs), np.concatenate(hs), np.concatenate(dfs)
         order = np.lexsort((h, df, doc))
         doc, h = doc[order], h[order].astype(np.int64)
@@ -140,10 +148,11 @@ def _gather(n_frag: int, percent: int):
             if size[i] and shared[i] >= need[i]:
                 own = h[ends[i] - shared[i] : ends[i]]
                 lead = shared[i] - need[i] + 1  # prefix length less the shingles that are this document's only
-                rows.append((ids[i], size[i], one[i].astype(np.int64), two[i].astype(np.int64), own[:lead], own.tobytes()))
+                alone = size[i] - shared[i]
+                rows.append((ids[i], size[i], one[i].astype(np.int64), two[i].astype(np.int64), alone, own[:lead], _parity(own), own.tobytes()))
             else:
-                rows.append((ids[i], size[i], 0, 0, None, None))
-        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "lead", "own"])
+                rows.append((ids[i], size[i], 0, 0, 0, None, None, None))
+        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "alone", "lead", "bits", "own"])
 
     return run
 
@@ -179,14 +188,14 @@ def _verify(pairs: DataFrame, segments: DataFrame, v: int, percent: int) -> Data
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_rows: int = 2000,
-                     batch_bytes: int = 12 << 20, verify_fragments: int = 8, small_bucket: int = 24,
-                     pivot_rounds: int = 12) -> DataFrame:
+                     batch_bytes: int = 12 << 20, verify_fragments: int = 4, named_buckets: int = 256) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents(doc_id, text, ...), one per input row.
 
     Links: 100 * intersection >= percent * union of distinct n-word shingles (A-Z folded; words are
     runs of non-space bytes; a text of fewer words is one shingle).  Null, empty and blank texts have
     no shingles, no links and are their own component.  doc_id names a text: repeated rows are fine.
     Other columns are not read.  Memory: one batch or one fragment of the hash order per task.
+    Classes with more than named_buckets open buckets may meet in several of them; that costs, no more.
     """
     spark = documents.sparkSession
     n_frag = C.fragments(spark)
@@ -196,47 +205,42 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
     told = sent.groupBy("frag").applyInPandas(_fragment, wire)
     sets = C.cut(told.groupBy("batch").applyInPandas(
         _gather(n_frag, percent),
-        "doc_id long, n_shingles long, f1 long, f2 long, lead array<long>, own binary"))
+        "doc_id long, n_shingles long, f1 long, f2 long, alone long, lead array<long>, bits array<long>, own binary"))
     live = sets.where("own is not null")
     classes = C.cut(live.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("cid")))
-    reps = C.cut(live.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "lead", "own")
+    reps = C.cut(live.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "alone", "lead", "bits", "own")
                  .join(classes.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
-    segments = C.cut(reps.select("cid", "own").mapInPandas(_segments(verify_fragments), "cid long, seg int, part binary"))
-    posts = reps.select("cid", "n", F.explode("lead").alias("g"))
-    size = posts.groupBy("g").agg(F.count("*").alias("c"), F.min(F.struct("cid", "n")).alias("p")).where("c > 1")
-    active = C.cut(posts.join(size, "g").select("g", "cid", "n", "c", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn")))
-    fits = "4 * least(na, nb) * 25 >= greatest(na, nb) * {p}".format(p=percent)
-    shape = [F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")]
-    pairs = active.where("cid <> pivot").select(*shape).where(fits).distinct()
-    tested = C.cut(pairs)
-    links = C.cut(_verify(tested, segments, verify_fragments, percent))
+    segments = reps.select("cid", "own").mapInPandas(_segments(verify_fragments), "cid long, seg int, part binary")
+    posts = reps.select("cid", "n", "alone", "bits", F.explode("lead").alias("g"))
+    pivots = (posts.groupBy("g").agg(F.count("*").alias("c"), F.min(F.struct("cid", "n", "alone", "bits")).alias("p"))
+              .where("c > 1").select(F.col("g").alias("pg"), "p.*"))
+
+    def near(left: str, right: str) -> Column:
+        differ = " + ".join(f"bit_count({left}.bits[{i}] ^ {right}.bits[{i}])" for i in range(_SKETCH))
+        return F.expr(f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n) and "
+                      f"{100 + percent} * ({left}.alone + {right}.alone + {differ}) <= {100 - percent} * ({left}.n + {right}.n)")
+
+    def shape(a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.cid").alias("a"), F.col(f"{a}.n").alias("na"), F.col(f"{b}.cid").alias("b"), F.col(f"{b}.n").alias("nb")]
+
+    pairs = C.cut(pivots.alias("x").join(posts.alias("y"), F.expr("x.pg = y.g and x.cid <> y.cid") & near("x", "y"))
+                  .select(*shape("x", "y")).distinct())
+    links = C.cut(_verify(pairs, segments, verify_fragments, percent))
     comps = C.components(links)
-    active = active.where("cid <> pivot").select("g", "cid", "n")
-    for turn in range(pivot_rounds + 1):
-        named = active.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("k", F.coalesce("component_id", "cid"))
-        open_ = (named.groupBy("g").agg(F.count("*").alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi"),
-                                        F.min(F.struct("cid", "n", "k")).alias("p")).where("lo <> hi"))
-        rest = C.cut(named.select("g", "cid", "n", "k").join(open_, "g")
-                     .select("g", "cid", "n", "k", "c", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.k").alias("pk")))
-        if rest.limit(1).count() == 0:
-            break
-        last = turn == pivot_rounds
-        few = rest if last else rest.where(F.col("c") <= small_bucket)
-        other = few.select("g", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-        new = (few.select("g", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
-               .join(other, "g").where("a < b and ka <> kb").select("a", "na", "b", "nb"))
-        large = rest.where(F.col("c") > small_bucket)
-        if not last:
-            new = new.union(large.where("cid <> pivot and k <> pk").select(*shape))
-        new = C.cut(new.where(fits).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
-        found = C.cut(_verify(new, segments, verify_fragments, percent))
-        if found.limit(1).count():
-            links = links.union(found)
-            comps = C.components(links)
-        if last:
-            break
-        tested = tested.union(new)
-        active = large.where("cid <> pivot").select("g", "cid", "n")
+    named = (reps.select("cid", "n", "alone", "bits", "lead").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
+             .withColumn("k", F.coalesce("component_id", "cid")).drop("component_id"))
+    at = named.select("cid", "k", F.explode("lead").alias("g"))
+    open_ = at.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("cid").alias("pivot")).where("lo <> hi").drop("lo", "hi")
+    rest = C.cut(at.join(open_, "g").where("cid <> pivot").select("cid", "g"))
+    opens = rest.groupBy("cid").agg(F.collect_list("g").alias("o"))  # at most the class's own prefix
+    few = F.when(F.size("o") <= named_buckets, F.col("o"))
+    members = C.cut(named.drop("lead").join(opens, "cid").select("cid", "n", "alone", "bits", "k", F.explode("o").alias("g"), few.alias("o")))
+    new = (members.alias("x").join(members.alias("y"), F.expr("x.g = y.g and x.cid < y.cid and x.k <> y.k") & near("x", "y")
+           & F.expr("x.o is null or y.o is null or x.g = array_min(array_intersect(x.o, y.o))")).select(*shape("x", "y")))
+    new = C.cut(new.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
+    found = C.cut(_verify(new, segments, verify_fragments, percent))
+    if found.limit(1).count():
+        comps = C.components(links.union(found))
     of_class = classes.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "n_shingles", "f1", "f2", F.coalesce("component_id", "cid").alias("component_id"))
     keyed = sets.select("doc_id", "n_shingles", "f1", "f2", F.col("own").isNotNull().alias("live"))
