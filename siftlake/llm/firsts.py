@@ -30,7 +30,7 @@ def _send(items: Callable, n_frag: int, batch_rows: int, batch_bytes: int):
             new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
             times = np.diff(np.r_[np.flatnonzero(new), len(h)])
             many = np.repeat(times > 1, times)
-            out = [(key, -1 - key % n_frag, C.pack(doc[many], pos[many], h[many]))]
+            out = [(key, -1 - (key + (key >> 24)) % n_frag, C.pack(doc[many], pos[many], h[many]))]
             doc, pos, h, times = doc[new], pos[new], h[new], times.astype(np.uint32)
             begin = C.fragment_starts(h, n_frag)
             for f in np.flatnonzero(np.diff(begin)):

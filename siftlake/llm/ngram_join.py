@@ -76,7 +76,7 @@ def _send(n: int, n_frag: int, batch_rows: int, batch_bytes: int):
             new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.empty(0, bool)
             times = np.diff(np.r_[np.flatnonzero(new), len(hs)])
             many = np.repeat(times > 1, times)
-            out = [(key, -1 - key % n_frag, C.pack(ids, size, one, two, docs[many], hs[many]))]
+            out = [(key, -1 - (key + (key >> 24)) % n_frag, C.pack(ids, size, one, two, docs[many], hs[many]))]
             single, sdoc, mult, mtimes = hs[~many], docs[~many], hs[new][times > 1], times[times > 1].astype(np.uint32)
             sb, mb = C.fragment_starts(single, n_frag), C.fragment_starts(mult, n_frag)
             for f in range(n_frag):
