@@ -32,7 +32,7 @@ def balanced_shards(documents: DataFrame, n_shards: int = 40, rounds: int = 6, s
     total = slim.count()
     chunk = max(1, min(max_chunk, total // (4 * n_shards)))
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(n_shards)).cast("int")
-    sizes = slim.groupBy("g", "size", "text_crc32").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = C.cut(slim.groupBy("g", "size", "text_crc32").agg(F.count("*").alias("n")).where("n > 1"))  # a plain side: skewed joins can split
     key = ["g", "size", "text_crc32"]
     linked = C.cut(slim.join(sizes, key).select(
         "doc_id", *key, F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk"), start.alias("label")))
