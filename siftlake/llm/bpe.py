@@ -157,7 +157,7 @@ class Transducer:
 class Codec:
     """A tokenizers-style vocabulary file: normaliser, splitter, transducer, decoder."""
 
-    def __init__(self, path: str, short: int = 64, memo: int = 1 << 18) -> None:
+    def __init__(self, path: str, short: int = 64, memo: int = 1 << 17) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
@@ -268,7 +268,7 @@ def encode_decode(documents: DataFrame, path: str) -> DataFrame:
             ids = [own.encode(t) if isinstance(t, str) else np.empty(0, "<u4") for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.tobytes() for x in ids], "decoded": [own.decode(x) for x in ids]})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, ids binary, decoded string")
 
 

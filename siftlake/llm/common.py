@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df, with the session's row batches no larger than long texts allow (in the scan and towards Python)."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
+        if int(conf.get(key)) > most or int(conf.get(key)) <= 0:
+            conf.set(key, str(most))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -261,17 +271,23 @@ def batch_key() -> int:
 
 
 def pieces(frames, max_rows: int, max_bytes: int, column: str = "text"):
-    """Smaller frames of whole rows, so that long texts don't add up."""
+    """The same rows in frames of at most so many rows and characters (one long text may be more)."""
+    waiting, rows, total = [], 0, 0
     for pdf in frames:
-        sizes = pdf[column].map(lambda x: len(x) if x is not None else 0).to_numpy()
-        at, total = 0, 0
+        sizes = pdf[column].map(lambda x: len(x) if isinstance(x, str) else 0).to_numpy()
+        at = 0
         for i, size in enumerate(sizes):
-            if i > at and (i - at >= max_rows or total + size > max_bytes):
-                yield pdf.iloc[at:i]
-                at, total = i, 0
-            total += size
+            if rows and (rows >= max_rows or total + size > max_bytes):
+                if i > at:
+                    waiting.append(pdf.iloc[at:i])
+                yield waiting[0] if len(waiting) == 1 else pd.concat(waiting, ignore_index=True)
+                waiting, rows, total, at = [], 0, 0, i
+            rows += 1
+            total += int(size)
         if at < len(pdf):
-            yield pdf.iloc[at:]
+            waiting.append(pdf.iloc[at:])
+    if waiting:
+        yield waiting[0] if len(waiting) == 1 else pd.concat(waiting, ignore_index=True)
 
 
 def utf8(text) -> bytes:

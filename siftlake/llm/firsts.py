@@ -113,7 +113,7 @@ def repeated(documents: DataFrame, items: Callable, finish: Callable, schema: st
     or with `shared` of all items that occur more than once.  items(frame) gives doc ids, positions, hashes.
     The same row twice counts as one place where only earlier places matter."""
     n_frag = C.fragments(documents.sparkSession)
-    sent = documents.mapInPandas(_send(items, n_frag, batch_rows, batch_bytes), WIRE)
+    sent = C.steady(documents).mapInPandas(_send(items, n_frag, batch_rows, batch_bytes), WIRE)
     told = sent.groupBy("frag").applyInPandas(_fragment(shared), WIRE)
     return told.groupBy("batch").applyInPandas(_gather(shared, finish), schema)
 

@@ -177,7 +177,7 @@ def encode_audio(documents: DataFrame, config: AudioConfig = AudioConfig()) -> D
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(C.utf8(t)) for t in pdf["text"]],
                                 "media": [to_wav(padded(t), config.rate) for t in pdf["text"]]})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = ("doc_id long, n_bytes long, media binary, payload binary, tensors array<array<float>>, tensor_ms array<array<double>>, "

@@ -50,7 +50,7 @@ def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, seed
     source or language is the category ''.  Texts without words have weight 0 tokens; they are kept, as
     they change no marginal.  Equal ids fare alike.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"),
+    docs = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"),
                             F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     slim = C.cut(docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"),
                              F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_tokens")))

@@ -188,7 +188,7 @@ def _verify(pairs: DataFrame, segments: DataFrame, v: int, percent: int) -> Data
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_rows: int = 2000,
-                     batch_bytes: int = 12 << 20, verify_fragments: int = 4, named_buckets: int = 256) -> DataFrame:
+                     batch_bytes: int = 8 << 20, verify_fragments: int = 4, named_buckets: int = 256) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents(doc_id, text, ...), one per input row.
 
     Links: 100 * intersection >= percent * union of distinct n-word shingles (A-Z folded; words are
@@ -200,7 +200,7 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
     spark = documents.sparkSession
     n_frag = C.fragments(spark)
     wire = "batch long, frag int, blob binary"
-    sent = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    sent = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         _send(n, n_frag, batch_rows, batch_bytes), wire)
     told = sent.groupBy("frag").applyInPandas(_fragment, wire)
     sets = C.cut(told.groupBy("batch").applyInPandas(

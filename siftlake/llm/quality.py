@@ -29,12 +29,11 @@ def _features(texts: list[bytes], buckets: int):
 def _count(labels: dict[int, int], buckets: int):
     def run(frames):
         total = np.zeros((2, buckets), np.int64)
-        for pdf in frames:
-            for part in C.pieces([pdf], 2000, 8 << 20):
-                doc, f = _features([C.utf8(t) for t in part["text"]], buckets)
-                good = np.array([labels.get(int(i), 0) == 1 for i in part["doc_id"]])
-                total[0] += np.bincount(f, minlength=buckets)
-                total[1] += np.bincount(f[good[doc]], minlength=buckets)
+        for part in C.pieces(frames, 2000, 4 << 20):
+            doc, f = _features([C.utf8(t) for t in part["text"]], buckets)
+            good = np.array([labels.get(int(i), 0) == 1 for i in part["doc_id"]])
+            total[0] += np.bincount(f, minlength=buckets)
+            total[1] += np.bincount(f[good[doc]], minlength=buckets)
         at = np.flatnonzero(total[0])
         yield pd.DataFrame({"bucket": at, "raw": total[0][at], "target": total[1][at]})
 
@@ -43,12 +42,11 @@ def _count(labels: dict[int, int], buckets: int):
 
 def _score(ratio: np.ndarray):
     def run(frames):
-        for pdf in frames:
-            for part in C.pieces([pdf], 2000, 8 << 20):
-                doc, f = _features([C.utf8(t) for t in part["text"]], len(ratio))
-                n = np.bincount(doc, minlength=len(part))
-                sums = np.bincount(doc, weights=ratio[f], minlength=len(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": n, "weight": np.round(sums / np.maximum(n, 1), 9)})
+        for part in C.pieces(frames, 2000, 4 << 20):
+            doc, f = _features([C.utf8(t) for t in part["text"]], len(ratio))
+            n = np.bincount(doc, minlength=len(part))
+            sums = np.bincount(doc, weights=ratio[f], minlength=len(part))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": n, "weight": np.round(sums / np.maximum(n, 1), 9)})
 
     return run
 
@@ -109,7 +107,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, buckets: int = 1 <<
     without words has weight 0 and no evidence against it; so has everything if nothing is labelled good,
     and all is kept then.  Null texts count as empty.  Equal ids and texts fare alike.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labelled_sample(labels, max_labelled)
     model = docs.mapInPandas(_count(known, buckets), "bucket int, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most `buckets` rows

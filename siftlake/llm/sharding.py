@@ -26,7 +26,7 @@ def balanced_shards(documents: DataFrame, n_shards: int = 40, rounds: int = 6, s
     Equal rows may swap slots.  An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = C.cut(documents.select(
+    slim = C.cut(C.steady(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(F.col("text").isNull(), text).alias("g")))
     total = slim.count()

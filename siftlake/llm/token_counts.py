@@ -129,5 +129,5 @@ def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
             n = own.count(texts)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(C.utf8(t)) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
