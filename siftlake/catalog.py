@@ -1,13 +1,310 @@
-"""The queries over the driver tables, and their SQL."""
+"""The queries over the driver tables, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import detect, scalars
+from .functions.text import split_lines, split_plain
+from .operators import log, reformat, relevance, search
+from .sources import corpora, store
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [corpora.table(spark, sf_dir, t).select(F.lit(c).alias("corpus"), F.expr(f"cast({i} as string)").alias("id"), F.col(x).alias("content"))
+             for t, c, i, x in (("documents", "documents", "doc_id", "text"), ("pages", "pages", "page_id", "html"), ("benchmark", "benchmark", "item_id", "text"),
+                                ("conversations", "conversations", "concat(conv_id, '/', turn)", "text"), ("events", "events", "event_id", "props"))]
+    parts += [f(spark, sf_dir).select(F.lit(c).alias("corpus"), F.col("block_id").cast("string").alias("id"), "content")
+              for c, f in (("log", corpora.log_blocks), ("diff", corpora.diff_blocks), ("search", corpora.search_blocks), ("json", corpora.json_blocks))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+_RAW = f"""{corpora.LOG_SQL}, {corpora.DIFF_SQL}, {corpora.SEARCH_SQL}, {corpora.JSON_SQL},
+raw_blocks AS (SELECT 'documents' AS corpus, doc_id::VARCHAR AS id, text AS content FROM documents UNION ALL SELECT 'pages', page_id::VARCHAR, html FROM pages UNION ALL SELECT 'benchmark', item_id::VARCHAR, text FROM benchmark
+ UNION ALL SELECT 'conversations', conv_id || '/' || turn, text FROM conversations UNION ALL SELECT 'events', event_id::VARCHAR, props FROM events
+ UNION ALL SELECT 'log', block_id::VARCHAR, content FROM log_blocks UNION ALL SELECT 'diff', block_id::VARCHAR, content FROM diff_blocks UNION ALL SELECT 'search', block_id::VARCHAR, content FROM search_blocks UNION ALL SELECT 'json', block_id::VARCHAR, content FROM json_blocks)"""
+
+
+@_query(f"WITH {_RAW} SELECT corpus, id, {detect.content_type_sql('content')} AS content_type FROM raw_blocks")
+def detect_type(spark, sf_dir):
+    return _raw(spark, sf_dir).select("corpus", "id", detect.content_type(F.col("content")).alias("content_type"))
+
+
+@_query(f"WITH {_RAW} SELECT corpus, {detect.content_type_sql('content')} AS content_type, count(*) AS n, sum(strlen(content))::BIGINT AS bytes FROM raw_blocks GROUP BY ALL")
+def type_histogram(spark, sf_dir):
+    x = _raw(spark, sf_dir).select("corpus", detect.content_type(F.col("content")).alias("content_type"), F.octet_length("content").alias("b"))
+    return x.groupBy("corpus", "content_type").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
+
+
+_DOC_LINES = log.LINES_SQL.format(blocks="(SELECT doc_id AS block_id, text AS content FROM documents) q")
+
+
+@_query(f"WITH {_DOC_LINES} SELECT block_id AS doc_id, line_no, md5(line) AS digest FROM lines", "split_lines")
+def split_lines_query(spark, sf_dir):
+    d = corpora.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long"), F.md5("line").alias("digest"))
+
+
+@_query("SELECT doc_id, i - 1 AS line_no, md5(x) AS digest FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))", "split_plain")
+def split_plain_query(spark, sf_dir):
+    d = corpora.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(split_plain(F.col("text"))).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long"), F.md5("line").alias("digest"))
+
+
+@_query("SELECT doc_id, greatest(1, floor(length(text) / 4.0::DOUBLE + 0.5))::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", scalars.token_estimate(F.col("text")).alias("tokens"))
+
+
+@_query("SELECT lang, sum(greatest(1, floor(length(text) / 4.0::DOUBLE + 0.5)))::BIGINT AS tokens, count(*) AS n FROM documents GROUP BY lang")
+def token_by_lang(spark, sf_dir):
+    d = corpora.table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.sum(scalars.token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("n"))
+
+
+_MODELS = ["gpt-4o", "gpt-4o-mini", "o1-preview", "o3", "gpt-4", "gpt-4-turbo", "gpt-3.5-turbo", "other", ""]
+
+
+@_query(f"SELECT m AS model, CASE WHEN regexp_matches(m, '^(gpt-4o|o1|o3)') THEN 'o200k_base' WHEN regexp_matches(m, '^(gpt-4|gpt-3\\.5)') THEN 'cl100k_base' ELSE 'estimator' END AS tokenizer FROM (SELECT unnest({_MODELS}) AS m)")
+def model_tokenizer(spark, sf_dir):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, _MODELS))).alias("model")).select("model", scalars.model_tokenizer(F.col("model")).alias("tokenizer"))
+
+
+@_query("SELECT doc_id, md5(text)[1:24] AS key FROM documents")
+def ccr_key_md5(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", scalars.key_md5(F.col("text")).alias("key"))
+
+
+@_query("SELECT doc_id, sha256(text)[1:24] AS key FROM documents")
+def ccr_key_strong(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", scalars.key_strong(F.col("text")).alias("key"))
+
+
+@_query("SELECT doc_id, '<<ccr:' || md5(text)[1:24] || '>>' AS marker FROM documents")
+def marker_build(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", scalars.marker(scalars.key_md5(F.col("text"))).alias("marker"))
+
+
+_MARK = "CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END || '<<ccr:' || {} || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '' END || '>>'"
+
+
+@_query(f"SELECT doc_id, nullif(regexp_extract({_MARK.format('md5(text)[1:24]')}, '^<<ccr:([0-9a-f]{{24}})>>$', 1), '') AS key FROM documents")
+def marker_parse(spark, sf_dir):
+    d = corpora.table(spark, sf_dir, "documents")
+    return d.select("doc_id", scalars.marker_key(F.expr(_MARK.format("substring(md5(cast(text as binary)), 1, 24)"))).alias("key"))
+
+
+_LOG_LINES = f"{corpora.LOG_SQL}, {log.LINES_SQL.format(blocks='log_blocks')}"
+
+
+def _signals(context: str) -> None:
+    if context == "diff":
+        sql = f"WITH {corpora.DIFF_SQL}, {log.LINES_SQL.format(blocks='diff_blocks')}"
+        blocks = corpora.diff_blocks
+    elif context == "search":
+        sql = f"WITH {corpora.SEARCH_SQL}, {log.LINES_SQL.format(blocks='search_blocks')}"
+        blocks = corpora.search_blocks
+    else:
+        sql, blocks = f"WITH {_LOG_LINES}", corpora.log_blocks
+
+    def run(spark, sf_dir):
+        x = blocks(spark, sf_dir).select("block_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "line"))
+        s = scalars.signal(F.col("line"), context)
+        return x.select("block_id", F.col("line_no").cast("long"), s.alias("s")).select("block_id", "line_no", F.col("s.category").alias("category"), F.round(F.col("s.priority").cast("double"), 4).alias("priority"))
+
+    _query(f"""{sql}, c AS (SELECT block_id, line_no, {scalars.importance_sql('line', context)} AS category FROM lines)
+SELECT block_id, line_no, category, CASE category WHEN 'error' THEN 0.95 WHEN 'security' THEN 0.85 WHEN 'warning' THEN 0.75 WHEN 'importance' THEN 0.6 WHEN 'markdown' THEN 0.45 ELSE 0 END::DOUBLE AS priority FROM c""", f"signal_score_{context}")(run)
+
+
+for _c in ("text", "log", "search", "diff"):
+    _signals(_c)
+
+
+@_query(f"WITH {_LOG_LINES} SELECT block_id, line_no, regexp_matches(lower(line), '{'|'.join(scalars.INDICATORS)}') AS hit FROM lines")
+def error_indicator(spark, sf_dir):
+    x = corpora.log_blocks(spark, sf_dir).select("block_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "line"))
+    return x.select("block_id", F.col("line_no").cast("long"), scalars.error_indicator(F.col("line")).alias("hit"))
+
+
+@_query(f"WITH {_DOC_LINES} SELECT block_id AS doc_id, {scalars.adaptive_k_sql('count(*)', 'count(DISTINCT line)', 5, 100)} AS k FROM lines GROUP BY block_id")
+def adaptive_k(spark, sf_dir):
+    x = corpora.table(spark, sf_dir, "documents").select("doc_id", split_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    return x.select("doc_id", scalars.adaptive_k(F.size("lines"), F.size(F.array_distinct("lines")), 5, 100).alias("k"))
+
+
+@_query(f"WITH {_LOG_LINES}, {log.CLASS_SQL} SELECT block_id, line_no, level, is_stack, is_summary, score FROM scored")
+def log_classify(spark, sf_dir):
+    return log.log_lines(corpora.log_blocks(spark, sf_dir)).select("block_id", F.col("line_no").cast("long"), "level", "is_stack", "is_summary", "score")
+
+
+@_query(f"WITH {_LOG_LINES}, {log.CLASS_SQL} SELECT block_id, {log.KEY_SQL} AS key, count(*) AS n, min(line_no) AS first_line FROM scored WHERE level = 'warn' GROUP BY ALL")
+def log_warning_dedupe(spark, sf_dir):
+    x = log.log_lines(corpora.log_blocks(spark, sf_dir)).where("level = 'warn'")
+    return x.groupBy("block_id", log.warning_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"), F.min(F.col("line_no").cast("long")).alias("first_line"))
+
+
+@_query(f"WITH {_LOG_LINES}, {log.CLASS_SQL}, {log.SELECT_SQL} SELECT block_id, line_no, keep FROM selected")
+def log_select(spark, sf_dir):
+    return log.log_selected(corpora.log_blocks(spark, sf_dir)).select("block_id", F.col("line_no").cast("long"), "keep")
+
+
+@_query(f"WITH {_LOG_LINES}, {log.CLASS_SQL}, {log.SELECT_SQL}, {log.COMPRESS_SQL.format(blocks='log_blocks')}")
+def log_compress(spark, sf_dir):
+    return log.log_compress(corpora.log_blocks(spark, sf_dir))
+
+
+@_query(f"""WITH {_LOG_LINES}, s AS (SELECT block_id, line, coalesce({scalars.importance_sql('line', 'log')}, '') AS c FROM lines WHERE line_no < 100), n AS (SELECT block_id, count(*) AS n FROM lines GROUP BY 1)
+SELECT block_id, round(CASE WHEN max(n.n) >= 50 THEN (0.5::DOUBLE * (1 - count(DISTINCT line)::DOUBLE / count(*)) + 0.5::DOUBLE * (count(*) FILTER (c = '')::DOUBLE / count(*)))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM s JOIN n USING (block_id) GROUP BY block_id""")
+def log_bloat(spark, sf_dir):
+    return corpora.log_blocks(spark, sf_dir).select("block_id", F.round(log.log_bloat(F.col("content")).cast("double"), 5).alias("bloat"))
+
+
+@_query()
+def log_template(spark, sf_dir):
+    return corpora.log_blocks(spark, sf_dir).select("block_id", reformat.log_template(F.col("content")).alias("output"))
+
+
+_QUERY = "error oner the"
+_SEARCH = f"{corpora.SEARCH_SQL}, {search.matches_sql([w for w in _QUERY.split() if len(w) > 2])}"
+
+
+@_query(f"WITH {_SEARCH} SELECT block_id, seq, file, line_no::BIGINT AS line_no, content, score FROM m", "search_parse")
+def search_parse(spark, sf_dir):
+    x = search.search_matches(corpora.search_blocks(spark, sf_dir), _QUERY)
+    return x.select("block_id", F.col("seq").cast("long"), "file", F.col("line_no").cast("long"), "content", "score")
+
+
+@_query(f"WITH {_SEARCH}, {search.SELECT_SQL} SELECT block_id, file, line_no::BIGINT AS line_no, content, place FROM kept")
+def search_select(spark, sf_dir):
+    x = search.search_selected(corpora.search_blocks(spark, sf_dir), _QUERY)
+    return x.select("block_id", "file", F.col("line_no").cast("long"), "content", F.col("place").cast("long"))
+
+
+@_query(f"WITH {_SEARCH}, {search.SELECT_SQL}, {search.COMPRESS_SQL}")
+def search_compress(spark, sf_dir):
+    return search.search_compress(corpora.search_blocks(spark, sf_dir), _QUERY)
+
+
+@_query(rf"""WITH {corpora.SEARCH_SQL}, r AS (SELECT block_id, regexp_extract(trim(unnest(string_split(content, chr(10)))), '(?s)^(.*?\d)[:\-]', 1) AS p FROM search_blocks)
+SELECT block_id, round(CASE WHEN count(*) FILTER (p <> '') >= 10 THEN greatest(0, least(1, (count(*) FILTER (p <> '')::DOUBLE / count(DISTINCT p) FILTER (p <> '') - 1) / 10))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM r GROUP BY block_id""")
+def search_bloat(spark, sf_dir):
+    return corpora.search_blocks(spark, sf_dir).select("block_id", F.round(search.search_bloat(F.col("content")).cast("double"), 5).alias("bloat"))
+
+
+@_query(f"WITH {corpora.JSON_SQL} SELECT block_id, json(content)::VARCHAR AS output FROM json_blocks")
+def json_minify(spark, sf_dir):
+    return corpora.json_blocks(spark, sf_dir).select("block_id", reformat.json_minify(F.col("content")).alias("output"))
+
+
+@_query(rf"""WITH {corpora.JSON_SQL}, n AS (SELECT block_id, content, len(regexp_extract_all(content, '\}},\{{')) + len(regexp_extract_all(content, '\}}, \{{')) + len(regexp_extract_all(content, '\}},\n')) AS n FROM json_blocks)
+SELECT block_id, round(CASE WHEN n >= 4 AND starts_with(trim(content), '[') THEN least(1.0::DOUBLE, n / 49.0::DOUBLE)::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM n""")
+def json_bloat(spark, sf_dir):
+    return corpora.json_blocks(spark, sf_dir).select("block_id", F.round(scalars.json_bloat(F.col("content")).cast("double"), 5).alias("bloat"))
+
+
+_KINDS = "element_at(array('tool_use', 'text', 'tool_result', 'thinking', 'compaction', 'image'), cast(turn % 6 as int) + 1)"
+
+
+@_query("""WITH k AS (SELECT conv_id, turn, ['tool_use', 'text', 'tool_result', 'thinking', 'compaction', 'image'][turn % 6 + 1] AS kind FROM conversations)
+SELECT conv_id, turn, kind, kind IN ('tool_use', 'thinking', 'redacted_thinking', 'compaction') AS hot, CASE kind WHEN 'tool_result' THEN 'content' WHEN 'text' THEN 'text' END AS field FROM k""")
+def toolpair_plan(spark, sf_dir):
+    k = corpora.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_KINDS).alias("kind"))
+    return k.select("*", scalars.hot_block(F.col("kind")).alias("hot"), scalars.inner_field(F.col("kind")).alias("field"))
+
+
+def _puts(spark, sf_dir) -> DataFrame:
+    return corpora.table(spark, sf_dir, "events").select(F.concat(F.col("event_type"), F.col("props")).alias("content"), F.col("event_id").alias("seq"), F.expr("event_id div 10").alias("at"))
+
+
+_PUTS = "p AS (SELECT md5(event_type || props)[1:24] AS hash, event_type || props AS payload, event_id AS seq, event_id // 10 AS put_at FROM events), e AS (SELECT hash, arg_max(payload, seq) AS payload, min(seq) AS seq, max(put_at) AS put_at FROM p GROUP BY hash)"
+
+
+@_query(f"WITH {_PUTS} SELECT DISTINCT e.hash, e.payload FROM e JOIN p USING (hash) WHERE p.seq % 2 = 0")
+def store_roundtrip(spark, sf_dir):
+    puts = _puts(spark, sf_dir)
+    keys = puts.where("seq % 2 = 0").select(scalars.key_md5(F.col("content")).alias("hash"))
+    return store.get(store.entries(puts), keys)
+
+
+@_query(f"WITH {_PUTS} SELECT hash, payload, seq FROM e ORDER BY seq DESC LIMIT 50")
+def store_fifo(spark, sf_dir):
+    return store.first_in_first_out(store.entries(_puts(spark, sf_dir)), 50).select("hash", "payload", "seq")
+
+
+@_query(f"WITH {_PUTS} SELECT hash, payload FROM e WHERE put_at + 30 > (SELECT max(put_at) FROM e)")
+def store_ttl(spark, sf_dir):
+    e = store.entries(_puts(spark, sf_dir))
+    now = e.agg(F.max("at")).first()[0]
+    return store.alive(e, now, 30).select("hash", "payload")
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    c = corpora.table(spark, sf_dir, "conversations")
+    first = c.where("turn = 0").select("conv_id", F.col("text").alias("query"))
+    return c.select("conv_id", "turn", F.col("text").alias("item")).join(first, "conv_id")
+
+
+_BM25 = """it AS (SELECT c.conv_id, c.turn, regexp_extract_all(lower(c.text), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[A-Za-z0-9_]+') AS t, regexp_extract_all(lower(q.text), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[A-Za-z0-9_]+') AS q FROM conversations c JOIN conversations q ON q.conv_id = c.conv_id AND q.turn = 0),
+av AS (SELECT *, {avg} AS av FROM it),
+tf AS (SELECT conv_id, turn, w, count(*) AS f FROM (SELECT conv_id, turn, unnest(t) AS w FROM it) GROUP BY ALL),
+qf AS (SELECT conv_id, turn, w, count(*) AS qf FROM (SELECT conv_id, turn, unnest(q) AS w FROM it) GROUP BY ALL),
+sc AS (SELECT conv_id, turn, sum(ln(2) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(t) / av)) * qf) AS raw, count(*) AS n, max(strlen(w)) >= 8 AS long FROM tf JOIN qf USING (conv_id, turn, w) JOIN av USING (conv_id, turn) GROUP BY ALL),
+fin AS (SELECT conv_id, turn, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 0 ELSE least(1.0, least(1.0, raw / 10) + CASE WHEN long THEN 0.3 ELSE 0 END) END::DOUBLE AS score FROM av LEFT JOIN sc USING (conv_id, turn))"""
+
+
+@_query(f"WITH {_BM25.format(avg='greatest(len(t), 1)::DOUBLE')} SELECT conv_id, turn, round(score, 6) AS score, n::BIGINT AS matched FROM fin")
+def bm25_single(spark, sf_dir):
+    x = relevance.bm25(_items(spark, sf_dir), F.col("query"))
+    n = F.size(F.array_intersect(F.array_distinct(relevance.tokens(F.col("query"))), relevance.tokens(F.col("item"))))
+    return x.select("conv_id", "turn", F.round("score", 6).alias("score"), n.cast("long").alias("matched"))
+
+
+@_query(f"WITH {_BM25.format(avg='avg(len(t)) OVER (PARTITION BY conv_id)')} SELECT conv_id, turn, round(score, 6) AS score, CASE WHEN n = 0 THEN 'BM25: no matches' ELSE 'BM25: ' || n || ' terms' END AS reason FROM fin")
+def bm25_batch(spark, sf_dir):
+    return relevance.bm25(_items(spark, sf_dir), F.col("query"), ["conv_id"]).select("conv_id", "turn", F.round("score", 6).alias("score"), "reason")
+
+
+@_query(f"WITH {_BM25.format(avg='avg(len(t)) OVER (PARTITION BY conv_id)')} SELECT conv_id, turn, round(CASE WHEN n >= 2 THEN least(1.0, greatest(score, 0.3) + 0.2) WHEN n = 1 THEN greatest(score, 0.3) ELSE score END::DOUBLE, 6) AS score FROM fin")
+def hybrid_score(spark, sf_dir):
+    return relevance.hybrid(relevance.bm25(_items(spark, sf_dir), F.col("query"), ["conv_id"])).select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@_query()
+def hybrid_alpha(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", relevance.hybrid_alpha(F.col("text")).alias("alpha"))
+
+
+@_query(f"WITH {_BM25.format(avg='avg(len(t)) OVER (PARTITION BY conv_id)')} SELECT conv_id, turn, round(score, 6) AS score FROM fin QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 6) DESC, turn) <= 3")
+def relevance_topk(spark, sf_dir):
+    from pyspark.sql import Window
+
+    x = bm25_batch(spark, sf_dir)
+    w = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "turn")
+    return x.withColumn("r", F.row_number().over(w)).where("r <= 3").select("conv_id", "turn", "score")
