@@ -151,4 +151,4 @@ COMPRESS_SQL = """agg AS (SELECT block_id, max(n) AS n_lines, string_agg(line, c
  count(*) FILTER (NOT keep AND level = 'error') AS e, count(*) FILTER (NOT keep AND level = 'fail') AS f, count(*) FILTER (NOT keep AND level = 'warn') AS w, count(*) FILTER (NOT keep AND level IN ('info', 'unknown')) AS i FROM selected GROUP BY block_id),
 o AS (SELECT b.block_id, content, n_lines, kept, concat_ws(chr(10), body, CASE WHEN n_lines > kept THEN concat('[', n_lines - kept, ' lines omitted: ', concat_ws(', ', CASE WHEN e > 0 THEN e || ' ERROR' END, CASE WHEN f > 0 THEN f || ' FAIL' END, CASE WHEN w > 0 THEN w || ' WARN' END, CASE WHEN i > 0 THEN i || ' INFO' END), ']') END) AS text,
  CASE WHEN n_lines >= 50 AND (kept::DOUBLE / n_lines)::FLOAT < 0.5::FLOAT THEN md5(content)[1:24] END AS cache_key FROM {blocks} b JOIN agg USING (block_id))
-SELECT block_id, text || coalesce(concat(chr(10), '[', n_lines, ' lines compressed to ', kept, '. Retrieve more: hash=', cache_key, ']'), '') AS compressed, n_lines::BIGINT AS n_lines, kept::BIGINT AS kept, cache_key FROM o"""
+SELECT block_id, text || CASE WHEN cache_key IS NULL THEN '' ELSE concat(chr(10), '[', n_lines, ' lines compressed to ', kept, '. Retrieve more: hash=', cache_key, ']') END AS compressed, n_lines::BIGINT AS n_lines, kept::BIGINT AS kept, cache_key FROM o"""

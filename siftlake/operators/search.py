@@ -99,4 +99,4 @@ COMPRESS_SQL = """per AS (SELECT block_id, file, string_agg(concat_ws(':', file,
 body AS (SELECT block_id, string_agg(concat_ws(chr(10), text, CASE WHEN n > k THEN concat('[... and ', n - k, ' more matches in ', file, ']') END), chr(10) ORDER BY file) AS body, sum(k) AS kept FROM per GROUP BY block_id),
 cnt AS (SELECT block_id, count(*) AS n_matches, count(DISTINCT file) AS files FROM m GROUP BY block_id),
 x AS (SELECT b.block_id, b.content, n_matches, kept, files, body, CASE WHEN n_matches >= 10 AND strlen(body)::DOUBLE / strlen(b.content) < 0.8 THEN md5(b.content)[1:24] END AS cache_key FROM search_blocks b JOIN cnt USING (block_id) JOIN body USING (block_id))
-SELECT block_id, body || coalesce(concat(chr(10), '[', n_matches, ' matches compressed to ', kept, '. Retrieve more: hash=', cache_key, ']'), '') AS compressed, n_matches::BIGINT AS n_matches, kept::BIGINT AS kept, files::BIGINT AS files, cache_key FROM x"""
+SELECT block_id, body || CASE WHEN cache_key IS NULL THEN '' ELSE concat(chr(10), '[', n_matches, ' matches compressed to ', kept, '. Retrieve more: hash=', cache_key, ']') END AS compressed, n_matches::BIGINT AS n_matches, kept::BIGINT AS kept, files::BIGINT AS files, cache_key FROM x"""
