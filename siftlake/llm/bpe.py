@@ -54,7 +54,6 @@ class Transducer:
         self.vocab, self.suffix = vocab, suffix
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.lookahead = sufficient_lookahead(merges)
-        self.made = {a + b: (a, b) for a, b in reversed(merges)}
         self.longest = max((len(x) - len(suffix) * x.endswith(suffix) if suffix else len(x) for x in vocab), default=1)
         self.pair: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}

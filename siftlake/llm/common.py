@@ -288,6 +288,21 @@ def pieces(frames, max_rows: int, max_bytes: int, column: str = "text"):
             waiting.append(pdf.iloc[at:])
     if waiting:
         yield waiting[0] if len(waiting) == 1 else pd.concat(waiting, ignore_index=True)
+    del waiting
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back, so that a worker that waits for its next task holds little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def utf8(text) -> bytes:

@@ -108,7 +108,7 @@ def _gather(shared: bool, finish: Callable):
 
 
 def repeated(documents: DataFrame, items: Callable, finish: Callable, schema: str, shared: bool = False,
-             batch_rows: int = 2000, batch_bytes: int = 8 << 20) -> DataFrame:
+             batch_rows: int = 2000, batch_bytes: int = 4 << 20) -> DataFrame:
     """finish(doc, pos, first document) of each batch's items that occur earlier (by doc_id, then position),
     or with `shared` of all items that occur more than once.  items(frame) gives doc ids, positions, hashes.
     The same row twice counts as one place where only earlier places matter."""

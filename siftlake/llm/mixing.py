@@ -42,11 +42,12 @@ def fitted(cells: DataFrame, dims: list[str], alpha: float, sweeps: int) -> Data
     return now
 
 
-def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, seed: str = "mix") -> DataFrame:
+def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, least: float = 0.5, seed: str = "mix") -> DataFrame:
     """Rows (doc_id, source, lang, topic, n_tokens, probability, kept), one per input row.
 
     Tokens are words.  Targets: each marginal's token shares to the power alpha, so large sources give way
-    to small ones.  The whole is scaled to the largest sample in which no probability passes 1.  A null
+    to small ones.  The whole is scaled to the largest sample in which no probability passes 1, but not under
+    `least` of all tokens in expectation; cells that would pass 1 then are kept whole.  A null
     source or language is the category ''.  Texts without words have weight 0 tokens; they are kept, as
     they change no marginal.  Equal ids fare alike.
     """
@@ -58,7 +59,7 @@ def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, seed
     cells = C.cut(slim.where("n_tokens > 0").groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     fit = fitted(cells, dims, alpha, sweeps).withColumn("ratio", F.col("weight") / F.col("tokens"))
     most = fit.agg(F.max("ratio").alias("most"))
-    rates = fit.crossJoin(F.broadcast(most)).select(*dims, (F.col("ratio") / F.col("most")).alias("probability"))  # one row
+    rates = fit.crossJoin(F.broadcast(most)).select(*dims, F.least(F.lit(1.0), F.col("ratio") * F.greatest(F.lit(1.0) / F.col("most"), F.lit(least))).alias("probability"))  # one row
     out = slim.join(rates, dims, "left").withColumn("probability", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("probability")))
     return out.withColumn("kept", C.hash_unit(F.col("doc_id"), seed) < F.col("probability")).select(
         "doc_id", *dims, "n_tokens", "probability", "kept")
@@ -70,7 +71,7 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
-def mixing_sql(alpha: float = 0.7, sweeps: int = 6, seed: str = "mix") -> str:
+def mixing_sql(alpha: float = 0.7, sweeps: int = 6, least: float = 0.5, seed: str = "mix") -> str:
     """The same for DuckDB."""
     word = r"[^ \t\n\r\x0B\f]+"
     dims = ["source", "lang", "topic"]
@@ -87,6 +88,6 @@ w0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens
             ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{k} JOIN t_{d} USING ({d}))")
             k += 1
     return f"""WITH {", ".join(ctes)},
-p AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS probability FROM w{k}),
+p AS (SELECT source, lang, topic, least(1.0, weight / tokens * greatest(1.0 / max(weight / tokens) OVER (), {least})) AS probability FROM w{k}),
 o AS (SELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens = 0 THEN 1.0::DOUBLE ELSE probability END AS probability FROM s LEFT JOIN p USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(probability, 6) AS probability, ('0x' || md5(doc_id::VARCHAR || '|{seed}')[1:12])::BIGINT / 281474976710656.0 < probability AS kept FROM o"""

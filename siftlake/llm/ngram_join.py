@@ -188,7 +188,7 @@ def _verify(pairs: DataFrame, segments: DataFrame, v: int, percent: int) -> Data
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_rows: int = 2000,
-                     batch_bytes: int = 8 << 20, verify_fragments: int = 4, named_buckets: int = 256) -> DataFrame:
+                     batch_bytes: int = 4 << 20, verify_fragments: int = 4, named_buckets: int = 256) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents(doc_id, text, ...), one per input row.
 
     Links: 100 * intersection >= percent * union of distinct n-word shingles (A-Z folded; words are

@@ -8,9 +8,11 @@ threshold that separates labelled good from labelled bad ones best.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,13 +42,18 @@ def _count(labels: dict[int, int], buckets: int):
     return run
 
 
+def _weights(texts: list[bytes], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of n-grams and mean log ratio of each text."""
+    doc, f = _features(texts, len(ratio))
+    n = np.bincount(doc, minlength=len(texts))
+    return n, np.round(np.bincount(doc, weights=ratio[f], minlength=len(texts)) / np.maximum(n, 1), 9)
+
+
 def _score(ratio: np.ndarray):
     def run(frames):
         for part in C.pieces(frames, 2000, 4 << 20):
-            doc, f = _features([C.utf8(t) for t in part["text"]], len(ratio))
-            n = np.bincount(doc, minlength=len(part))
-            sums = np.bincount(doc, weights=ratio[f], minlength=len(part))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": n, "weight": np.round(sums / np.maximum(n, 1), 9)})
+            n, weight = _weights([C.utf8(t) for t in part["text"]], ratio)
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": n, "weight": weight})
 
     return run
 
@@ -98,14 +105,29 @@ def top_k(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
             above += r["n"]
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, buckets: int = 1 << 14, max_labelled: int = 20_000,
-                   strength: float = 200.0, keep_good: float = 0.995, smooth: float = 0.5, seed: str = "gumbel") -> DataFrame:
-    """Rows (doc_id, n_grams, weight, kept), one per input row.
+@dataclass(frozen=True)
+class Model:
+    """Log ratios by bucket, and the least key to keep (None: all)."""
+
+    ratio: np.ndarray
+    least: float | None
+    strength: float
+    seed: str
+
+    def kept(self, doc_id: Column, n_grams: Column, weight: Column) -> Column:
+        return F.lit(True) if self.least is None else self.key(doc_id, n_grams, weight) >= self.least
+
+    def key(self, doc_id: Column, n_grams: Column, weight: Column) -> Column:
+        noise = -F.log(-F.log(C.hash_unit(doc_id, self.seed) * (1 - 2e-12) + 1e-12))
+        return F.when(n_grams > 0, weight * self.strength + noise).otherwise(F.lit(1e9))
+
+
+def fit(documents: DataFrame, labels: DataFrame, buckets: int = 1 << 14, max_labelled: int = 20_000,
+        strength: float = 200.0, keep_good: float = 0.995, smooth: float = 0.5, seed: str = "gumbel") -> tuple[Model, DataFrame]:
+    """The model, and rows (doc_id, n_grams, weight) of all documents.
 
     The raw model counts every word and word pair of all documents; the target model those of at most
-    max_labelled labelled ids (a bounded sample in hash order, which also sets the threshold).  A text
-    without words has weight 0 and no evidence against it; so has everything if nothing is labelled good,
-    and all is kept then.  Null texts count as empty.  Equal ids and texts fare alike.
+    max_labelled labelled ids (a bounded sample in hash order, which also sets the threshold).
     """
     docs = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labelled_sample(labels, max_labelled)
@@ -120,16 +142,31 @@ def quality_scores(documents: DataFrame, labels: DataFrame, buckets: int = 1 <<
     sample = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": [*known], "q": [*known.values()]}), "doc_id long, q int"))
     seen = scored.join(sample, "doc_id").where("n_grams > 0").select("q", "weight").toPandas()  # the sample
     cut_at = _threshold(seen.loc[seen.q == 1, "weight"].to_numpy(), seen.loc[seen.q == 0, "weight"].to_numpy(), keep_good)
-    noise = -F.log(-F.log(C.hash_unit(F.col("doc_id"), seed) * (1 - 2e-12) + 1e-12))
-    keyed = scored.withColumn("key", F.when(F.col("n_grams") > 0, F.col("weight") * strength + noise).otherwise(F.lit(1e9)))
-    above = (F.col("weight") >= cut_at) | (F.col("n_grams") == 0)
-    k = scored.where(above).count()
-    least = top_k(keyed, k)
-    kept = F.lit(True) if least is None else F.col("key") >= least
-    return keyed.select("doc_id", "n_grams", "weight", kept.alias("kept"))
+    draft = Model(ratio, None, strength, seed)
+    k = scored.where((F.col("weight") >= cut_at) | (F.col("n_grams") == 0)).count()
+    least = top_k(scored.select(draft.key(F.col("doc_id"), F.col("n_grams"), F.col("weight")).alias("key")), k)
+    return Model(ratio, least, strength, seed), scored
+
+
+def quality_scores(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """Rows (doc_id, n_grams, weight, kept), one per input row; see `fit` for the parameters.
+
+    A text without words has weight 0 and no evidence against it; so has everything if nothing is labelled
+    good, and all is kept then.  Null texts count as empty.  Equal ids and texts fare alike.
+    """
+    model, scored = fit(documents, labels, **params)
+    return scored.select("doc_id", "n_grams", "weight", model.kept(F.col("doc_id"), F.col("n_grams"), F.col("weight")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """docs without those that quality_scores rejects; columns unchanged."""
-    bad = quality_scores(docs, labels, **params).where("not kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that quality_scores rejects; columns unchanged.  Texts are weighed again where they
+    are, so that none is shuffled."""
+    model, _ = fit(docs, labels, **params)
+    ratio = model.ratio
+
+    def weigh(texts: pd.Series) -> pd.DataFrame:
+        n, weight = _weights([C.utf8(t) for t in texts], ratio)
+        return pd.DataFrame({"n": n.astype(np.int64), "w": weight})
+
+    weighed = docs.withColumn("_q", F.pandas_udf(weigh, "n long, w double")("text"))
+    return weighed.where(model.kept(F.col("doc_id").cast("long"), F.col("_q.n"), F.col("_q.w"))).select(*docs.columns)

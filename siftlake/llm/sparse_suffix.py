@@ -94,7 +94,7 @@ def repeated_passages(documents: DataFrame, k: int = 16, w: int = 30, batch_rows
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     heads = C.cut(repeated(docs, _anchors(k, w), _positions, "doc_id long, heads array<int>", shared=True, batch_rows=batch_rows))
     heads = heads.dropDuplicates(["doc_id"])
-    near = docs.join(heads, "doc_id").select("doc_id", "text", "heads")
+    near = docs.hint("merge").join(heads, "doc_id")  # one plan at every size.select("doc_id", "text", "heads")
     return repeated(near, _extensions(k, w), _passages(k + w - 1),
                     "doc_id long, start_word long, end_word long, first_doc_id long", batch_rows=batch_rows)
 
@@ -127,7 +127,7 @@ def without_repeats(docs: DataFrame, min_words: int = 5, **params) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     shorten = F.pandas_udf(cut_text, "string")
-    hit = docs.join(spans.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long") == F.col("_id"), "left")
+    hit = docs.hint("merge").join(spans.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long") == F.col("_id"), "left")
     touched = F.col("spans").isNotNull()
     out = hit.withColumn("text", shorten("text", "spans")).where(~touched | F.col("text").isNotNull())
     if "n_chars" in docs.columns:
