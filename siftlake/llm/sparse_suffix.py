@@ -45,7 +45,7 @@ def _anchors(k: int, w: int):
 
 def _positions(doc: np.ndarray, pos: np.ndarray, first: np.ndarray) -> pd.DataFrame:
     if not len(doc):
-        return pd.DataFrame({"doc_id": [], "heads": []})
+        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "heads": np.empty(0, object)})
     cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     return pd.DataFrame({"doc_id": doc[cut], "heads": [np.unique(p).astype(np.int32) for p in np.split(pos, cut[1:])]})
 
