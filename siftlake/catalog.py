@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import detect, scalars
 from .functions.text import split_lines, split_plain
-from .operators import log, reformat, relevance, search
+from .operators import diff, log, reformat, relevance, search, tags
+from .plans import condense
 from .sources import corpora, store
 
 _QUERIES: dict[str, Callable] = {}
@@ -308,3 +309,67 @@ def relevance_topk(spark, sf_dir):
     x = bm25_batch(spark, sf_dir)
     w = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "turn")
     return x.withColumn("r", F.row_number().over(w)).where("r <= 3").select("conv_id", "turn", "score")
+
+
+_DIFF_LINES = f"{corpora.DIFF_SQL}, {log.LINES_SQL.format(blocks='diff_blocks')}"
+
+
+@_query(f"WITH {_DIFF_LINES}, {diff.PARSE_SQL} SELECT block_id, file_no::BIGINT AS file_no, path, body_lines, body_bytes, reason FROM files")
+def diff_parse_files(spark, sf_dir):
+    return diff.diff_files(corpora.diff_blocks(spark, sf_dir))
+
+
+@_query(f"WITH {_DIFF_LINES}, {diff.PARSE_SQL} SELECT block_id, round((sum(body_bytes) FILTER (reason IS NOT NULL)::DOUBLE / sum(body_bytes))::FLOAT::DOUBLE, 5) AS bloat FROM files GROUP BY block_id")
+def diff_noise_bloat(spark, sf_dir):
+    return diff.diff_noise_bloat(corpora.diff_blocks(spark, sf_dir)).select("block_id", F.round(F.col("bloat").cast("double"), 5).alias("bloat"))
+
+
+@_query(f"""WITH {_DIFF_LINES}, {diff.PARSE_SQL}, j AS (SELECT f1.*, reason, body_lines, in_body AND reason IS NOT NULL AS gone, row_number() OVER (PARTITION BY f1.block_id, f1.file_no, in_body ORDER BY line_no) AS nth FROM f1 LEFT JOIN files USING (block_id, file_no)),
+t AS (SELECT block_id, string_agg(CASE WHEN gone THEN concat('[diff_noise: ', reason, ' hunks dropped (', body_lines, ' lines)]') ELSE line END, chr(10) ORDER BY line_no) || chr(10) AS text FROM j WHERE NOT gone OR nth = 1 GROUP BY block_id)
+SELECT block_id, text || chr(10) || '[diff_noise CCR: hash=' || md5(content)[1:24] || ']' AS output, md5(content)[1:24] AS cache_key FROM t JOIN diff_blocks USING (block_id)""")
+def diff_noise_apply(spark, sf_dir):
+    return diff.diff_noise_apply(corpora.diff_blocks(spark, sf_dir))
+
+
+@_query(f"""WITH {_DIFF_LINES}, k AS (SELECT block_id, line_no, line, CASE WHEN starts_with(line, '@@') THEN 1 WHEN starts_with(line, 'diff --git') THEN 0 END AS mark FROM lines),
+m AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY line_no), 0) = 1 AND mark IS NULL AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---') AS inside FROM k),
+a AS (SELECT block_id, count(*) AS n, count(*) FILTER (inside AND starts_with(line, ' ')) AS c, count(*) FILTER (inside AND regexp_matches(line, '^[+\\-]')) AS d FROM m GROUP BY block_id)
+SELECT block_id, round(CASE WHEN n >= 50 THEN greatest(0, least(1, (c::DOUBLE / (c + d) - 0.6::DOUBLE) / 0.4::DOUBLE))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM a""")
+def diff_bloat(spark, sf_dir):
+    return diff.diff_bloat(corpora.diff_blocks(spark, sf_dir)).select("block_id", F.round(F.col("bloat").cast("double"), 5).alias("bloat"))
+
+
+def _all_blocks(spark, sf_dir) -> DataFrame:
+    return _raw(spark, sf_dir).select(F.concat_ws("/", "corpus", "id").alias("block_id"), "content")
+
+
+@_query()
+def pipeline_compress(spark, sf_dir):
+    return condense.condense(_all_blocks(spark, sf_dir))
+
+
+@_query()
+def pipeline_stats(spark, sf_dir):
+    x = condense.condense(_all_blocks(spark, sf_dir))
+    return x.groupBy("content_type").agg(F.count("*").alias("n"), F.sum("bytes_saved").alias("bytes_saved"), F.sum(F.size("cache_keys")).alias("replaced"))
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    c = corpora.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("block_id"), "turn", F.concat(F.lit("<turn-"), "role", F.lit(">"), "text", F.lit("</turn-"), "role", F.lit(">")).alias("line"))
+    return corpora.joined(c, "turn").withColumn("content", F.concat("content", F.lit("\n<meta-info/>")))
+
+
+@_query()
+def tag_protect_block(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content")).alias("p")).select("block_id", "p.*")
+
+
+@_query()
+def tag_protect_marker(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content"), True).alias("p")).select("block_id", "p.*")
+
+
+@_query("SELECT conv_id AS block_id, string_agg('<turn-' || role || '>' || text || '</turn-' || role || '>', chr(10) ORDER BY turn) || chr(10) || '<meta-info/>' AS content FROM conversations GROUP BY conv_id")
+def tag_restore_roundtrip(spark, sf_dir):
+    p = _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content"), True).alias("p"))
+    return p.select("block_id", tags.restore_tags(F.col("p.text"), F.col("p.blocks")).alias("content"))
