@@ -373,3 +373,33 @@ def tag_protect_marker(spark, sf_dir):
 def tag_restore_roundtrip(spark, sf_dir):
     p = _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content"), True).alias("p"))
     return p.select("block_id", tags.restore_tags(F.col("p.text"), F.col("p.blocks")).alias("content"))
+
+
+_PLAIN_DIFF = f"""{corpora.DIFF_SQL}, pl AS (SELECT block_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM diff_blocks)),
+h0 AS (SELECT *, sum(regexp_matches(line, '^diff --git a/.+ b/.+$')::INT) OVER (PARTITION BY block_id ORDER BY line_no) AS file_no FROM pl),
+h1 AS (SELECT *, CASE WHEN regexp_matches(line, '^diff --git a/.+ b/.+$') THEN 'header' WHEN regexp_matches(line, '^--- (a/.+|/dev/null)$') THEN 'old' WHEN regexp_matches(line, '^\\+\\+\\+ (b/.+|/dev/null)$') THEN 'new' WHEN regexp_matches(line, '^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@') THEN 'hunk' ELSE 'body' END AS kind FROM h0),
+h2 AS (SELECT *, sum((kind = 'hunk')::INT) OVER (PARTITION BY block_id, file_no ORDER BY line_no) AS hunk_no FROM h1),
+hk AS (SELECT block_id, file_no, hunk_no, max(line) FILTER (kind = 'hunk') AS header, count(*) FILTER (kind = 'body' AND starts_with(line, '+') AND NOT starts_with(line, '+++')) AS a, count(*) FILTER (kind = 'body' AND starts_with(line, '-') AND NOT starts_with(line, '---')) AS d,
+ bool_or(kind = 'body' AND regexp_matches(lower(line), '(^|[^A-Za-z0-9_])({diff.PRIORITY})([^A-Za-z0-9_]|$)')) AS urgent FROM h2 WHERE hunk_no > 0 AND kind IN ('hunk', 'body') GROUP BY ALL),
+hs AS (SELECT *, regexp_extract(header, '\\+(\\d+)', 1)::BIGINT AS start, round(least(0.3::DOUBLE, (a + d) * 0.03::DOUBLE) + CASE WHEN urgent THEN 0.3::DOUBLE ELSE 0 END, 2) AS score FROM hk)"""
+
+
+@_query(f"WITH {_PLAIN_DIFF} SELECT block_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, header, start, a AS additions, d AS deletions, score FROM hs")
+def diff_hunk_score(spark, sf_dir):
+    return diff.diff_hunks(corpora.diff_blocks(spark, sf_dir))
+
+
+@_query(f"""WITH {_PLAIN_DIFF}, n1 AS (SELECT *, count(*) OVER (PARTITION BY block_id, file_no) AS n FROM hs),
+n2 AS (SELECT *, hunk_no = 1 OR hunk_no = n AS edge, row_number() OVER (PARTITION BY block_id, file_no, hunk_no = 1 OR hunk_no = n ORDER BY score DESC, hunk_no) AS rank FROM n1),
+n3 AS (SELECT *, n <= 10 OR edge OR rank <= 8 AS kept, CASE WHEN n <= 10 THEN 0 ELSE start END AS o1, CASE WHEN n <= 10 THEN hunk_no WHEN hunk_no = 1 THEN 0 WHEN hunk_no = n THEN 10 ELSE rank END AS o2 FROM n2),
+b0 AS (SELECT *, regexp_matches(line, '^[+\\-]') AS change FROM h2 WHERE kind = 'body' AND hunk_no > 0),
+b1 AS (SELECT *, max(change::INT) OVER w = 1 AS near, row_number() OVER (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no) AS pos FROM b0 WINDOW w AS (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+rows_ AS (SELECT block_id, file_no AS o, CASE kind WHEN 'header' THEN 1 WHEN 'old' THEN 5 ELSE 6 END AS k, 0 AS o1, 0 AS o2, 0 AS p, line FROM h2 WHERE kind IN ('header', 'old', 'new')
+ UNION ALL SELECT block_id, file_no, 7, o1, o2, 0, header FROM n3 WHERE kept UNION ALL SELECT b1.block_id, b1.file_no, 7, o1, o2, pos, line FROM b1 JOIN n3 USING (block_id, file_no, hunk_no) WHERE kept AND near),
+tx AS (SELECT block_id, string_agg(line, chr(10) ORDER BY o, k, o1, o2, p) AS text FROM rows_ GROUP BY block_id),
+su AS (SELECT block_id, count(DISTINCT file_no) AS files, sum(a) AS additions, sum(d) AS deletions, count(*) FILTER (NOT kept) AS hunks_removed FROM n3 GROUP BY block_id),
+ou AS (SELECT block_id, content, len(string_split(content, chr(10))) AS n_lines, su.* EXCLUDE block_id, concat(text, chr(10), '[', files, ' files changed, +', additions, ' -', deletions, ' lines', CASE WHEN hunks_removed > 0 THEN concat(', ', hunks_removed, ' hunks omitted') ELSE '' END, ']') AS text FROM diff_blocks JOIN tx USING (block_id) JOIN su USING (block_id)),
+mk AS (SELECT *, len(string_split(text, chr(10))) AS m FROM ou)
+SELECT block_id, text || CASE WHEN m < n_lines * 0.8 THEN concat(chr(10), '[', n_lines, ' lines compressed to ', m, '. Retrieve full diff: hash=', md5(content)[1:24], ']') ELSE '' END AS compressed, n_lines, files, additions::BIGINT AS additions, deletions::BIGINT AS deletions, hunks_removed, CASE WHEN m < n_lines * 0.8 THEN md5(content)[1:24] END AS cache_key FROM mk""")
+def diff_compress(spark, sf_dir):
+    return diff.diff_compress(corpora.diff_blocks(spark, sf_dir))

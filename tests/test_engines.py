@@ -95,3 +95,46 @@ def test_store(spark):
     assert [r["payload"] for r in store.first_in_first_out(kept, 1).collect()] == ["b"]
     assert {r["payload"] for r in store.alive(kept, 12, 5).collect()} == {"a"}
     assert store.alive(kept, 10**9, None).count() == 2
+
+
+def test_diff(spark):
+    from siftlake.operators import diff
+
+    hunks = "\n".join(f"@@ -1,9 +1,9 @@ h{i}\n" + "\n".join([" c"] * 4 + [f"-a{i}", f"+b{i}"] + [" c"] * 4) for i in range(30))
+    text = f"diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n{hunks}"
+    rows = {r["block_id"]: r for r in diff.diff_compress(spark.createDataFrame([(1, text), (2, "diff --git a/x b/x\n+1"), (3, "plain\n" * 60)], "block_id long, content string")).collect()}
+    assert rows[1]["hunks_removed"] == 20 and rows[1]["additions"] == 30 and "@@ h0\n" in rows[1]["compressed"] and "@@ h29\n" in rows[1]["compressed"] and rows[1]["cache_key"]
+    assert rows[2]["compressed"] == "diff --git a/x b/x\n+1" and rows[3]["compressed"] == "plain\n" * 60
+
+
+@pytest.mark.parametrize("path,lock", [("go.sum", True), ("a/go.sum", True), ("a\\\\go.sum", True), ("xgo.sum", False), ("go.sum.bak", False), ("Cargo.lock", True)])
+def test_lockfiles(spark, path, lock):
+    from siftlake.operators import diff
+
+    body = "\n".join(f"+x{i}" for i in range(40))
+    row = diff.diff_noise_apply(spark.createDataFrame([(1, f"diff --git a/{path} b/{path}\n@@ -0,0 +1,40 @@\n{body}\n")], "block_id long, content string")).first()
+    assert (row["output"] is not None) == lock
+
+
+def test_tags(spark):
+    from siftlake.operators import tags
+
+    text = '<think a="x>y">keep <b>me</b></think> <x/> </orphan> <open> <!-- c --> <div>h</div>'
+    block, marks = tags.protected(text), tags.protected(text, True)
+    assert [b["original"] for b in block["blocks"]] == ['<think a="x>y">keep <b>me</b></think>', "<x/>"] and block["orphans"] == 1 and block["html"] == 4
+    assert [b["original"] for b in marks["blocks"]] == ['<think a="x>y">', "</think>", "<x/>", "<open>"]
+    assert tags.protected("{{KEPT_TAG_0}} <x/>")["collision"]
+    back = spark.createDataFrame([(text,)], "t string").select(tags.protect_tags(F.col("t")).alias("p")).select(tags.restore_tags(F.col("p.text"), F.col("p.blocks"))).first()[0]
+    assert back == text
+
+
+def test_pipeline(spark):
+    from siftlake.plans.condense import condense
+    from siftlake.sources.corpora import diff_blocks
+
+    rows = [(1, '[ {"a": 1}, {"a": 2} ]'), (2, "prose"), (3, "\n".join([f"INFO worker {i} ok" for i in range(60)] + ["x error: y"])), (4, diff_blocks(spark, "/root/testdata/sf0.001").first()["content"])]
+    out = {r["block_id"]: r for r in condense(spark.createDataFrame(rows, "block_id long, content string")).collect()}
+    assert out[1]["output"] == '[{"a":1},{"a":2}]' and out[1]["steps"] == ["json_minifier"]
+    assert out[2]["output"] == "prose" and not out[2]["steps"]
+    assert out[3]["bytes_saved"] > 0 and out[3]["steps"][0] == "log_template"
+    assert out[4]["steps"] == ["diff_noise", "diff_offload"] and len(out[4]["cache_keys"]) == 2
