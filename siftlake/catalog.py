@@ -90,10 +90,10 @@ def token_by_lang(spark, sf_dir):
     return d.groupBy("lang").agg(F.sum(scalars.token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("n"))
 
 
-_MODELS = ["gpt-4o", "gpt-4o-mini", "o1-preview", "o3", "gpt-4", "gpt-4-turbo", "gpt-3.5-turbo", "other", ""]
+_MODELS = ["gpt-4o", "gpt-4o-mini", "o1-preview", "o3", "gpt-4", "gpt-4-turbo", "gpt-3.5-turbo", "GPT-4o", "other", ""]
 
 
-@_query(f"SELECT m AS model, CASE WHEN regexp_matches(m, '^(gpt-4o|o1|o3)') THEN 'o200k_base' WHEN regexp_matches(m, '^(gpt-4|gpt-3\\.5)') THEN 'cl100k_base' ELSE 'estimator' END AS tokenizer FROM (SELECT unnest({_MODELS}) AS m)")
+@_query(f"SELECT m AS model, CASE WHEN regexp_matches(lower(m), '^(gpt-4o|o1|o3)') THEN 'o200k_base' WHEN regexp_matches(lower(m), '^(gpt-4|gpt-3\\.5)') THEN 'cl100k_base' ELSE 'estimator' END AS tokenizer FROM (SELECT unnest({_MODELS}) AS m)")
 def model_tokenizer(spark, sf_dir):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, _MODELS))).alias("model")).select("model", scalars.model_tokenizer(F.col("model")).alias("tokenizer"))
 
@@ -297,7 +297,9 @@ def hybrid_score(spark, sf_dir):
     return relevance.hybrid(relevance.bm25(_items(spark, sf_dir), F.col("query"), ["conv_id"])).select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
-@_query()
+@_query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}') THEN 0.85
+ WHEN len(regexp_extract_all(text, '\b\d{4,}\b')) >= 2 THEN 0.75 WHEN regexp_matches(text, '\b\d{4,}\b') THEN 0.65
+ WHEN regexp_matches(lower(text), '\b[a-z0-9][a-z0-9-]*\.[a-z0-9][a-z0-9-]*(\.[a-z]{2,})?\b') OR regexp_matches(lower(text), '\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b') THEN 0.6 ELSE 0.5 END::DOUBLE AS alpha FROM documents""")
 def hybrid_alpha(spark, sf_dir):
     return corpora.table(spark, sf_dir, "documents").select("doc_id", relevance.hybrid_alpha(F.col("text")).alias("alpha"))
 

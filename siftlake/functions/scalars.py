@@ -43,7 +43,8 @@ def token_estimate(text: Column) -> Column:
 
 
 def model_tokenizer(model: Column) -> Column:
-    return (F.when(model.rlike("^(gpt-4o|o1|o3)"), "o200k_base").when(model.rlike(r"^(gpt-4|gpt-3\.5)"), "cl100k_base").otherwise("estimator"))
+    m = F.lower(model)
+    return F.when(m.rlike("^(gpt-4o|o1|o3)"), "o200k_base").when(m.rlike(r"^(gpt-4|gpt-3\.5)"), "cl100k_base").otherwise("estimator")
 
 
 def importance(line: Column, context: str) -> Column:
@@ -108,6 +109,13 @@ def adaptive_k_sql(n: str, u: str, low: int, high: int) -> str:
     return f"(CASE WHEN {n} <= 8 THEN {n} WHEN {u} <= 3 THEN least(greatest({low}, {u}), {high}) ELSE greatest({low}, least(greatest({low}, floor({n} * (0.3::DOUBLE + 0.7::DOUBLE * ({u}::DOUBLE / {n})))), {high})) END)::BIGINT"
 
 
+def html_tag(name: Column) -> Column:
+    """Whether name is a standard HTML element, in any case."""
+    from ..operators.tags import HTML_TAGS
+
+    return F.lower(name).isin(HTML_TAGS.split())
+
+
 def hot_block(kind: Column) -> Column:
     return kind.isin(HOT_TYPES)
 

@@ -70,5 +70,20 @@ def hybrid_alpha(text: Column) -> Column:
     uuids = F.regexp_count(text, F.lit(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"))
     ids = F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])\d{4,}(?![A-Za-z0-9_])"))
     lower = F.lower(text)
-    named = lower.rlike(r"(?<![A-Za-z0-9_])[a-z0-9][a-z0-9-]*\.[a-z0-9][a-z0-9-]*(?:\.[a-z]{2,})?(?![A-Za-z0-9_])") | lower.rlike(r"[\w.+-]+@[\w-]+\.[\w.-]+")
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    # fixed values: the last class of an address holds a bar
+    named = lower.rlike(r"(?<![A-Za-z0-9_])[a-z0-9][a-z0-9-]*\.[a-z0-9][a-z0-9-]*(?:\.[a-z]{2,})?(?![A-Za-z0-9_])") | lower.rlike(rf"{edge}[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z|]{{2,}}{edge}")
     return F.when(uuids > 0, 0.85).when(ids >= 2, 0.75).when(ids == 1, 0.65).when(named, 0.6).otherwise(0.5)
+
+
+def scorer(tier: str):
+    """The scorer of a tier, "bm25" or "hybrid" in any case: a function (items, query, batch) -> items with score,
+    reason and matched_terms."""
+    name = tier.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    if name == "bm25":
+        return bm25
+    if name == "hybrid":
+        return lambda items, query, batch=None, item="item": hybrid(bm25(items, query, batch, item))
+    if name == "embedding":
+        raise ValueError("the embedding scorer needs a model, and none is at hand")
+    raise ValueError(f"unknown scorer tier {tier!r}: bm25, hybrid")

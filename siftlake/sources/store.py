@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import key_md5
@@ -36,3 +39,63 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with new's keys put; for stores kept as tables."""
     latest = Window.partitionBy("hash").orderBy(F.col("at").desc(), F.col("seq").desc())
     return old.unionByName(new).withColumn("_n", F.row_number().over(latest)).withColumn("seq", F.min("seq").over(Window.partitionBy("hash"))).where("_n = 1").drop("_n")
+
+
+@dataclass(frozen=True)
+class StoreConfig:
+    """kind "fifo" holds the last `capacity` keys; kind "table" has no capacity.  ttl_seconds None never expires."""
+
+    path: str
+    kind: str = "table"
+    capacity: int = CAPACITY
+    ttl_seconds: int | None = TTL_SECONDS
+
+
+class TableStore:
+    """A store kept as versions of a Parquet table below a shared path; one writer at a time.
+
+    A put writes a whole new version beside the old one and then names it in `current`, so that readers and
+    puts run again after a failure see one complete version.
+    """
+
+    def __init__(self, spark: SparkSession, config: StoreConfig) -> None:
+        self.spark, self.config = spark, config
+
+    def _versions(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.config.path)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def rows(self) -> DataFrame:
+        """(hash, payload, seq, at), entries past their time included."""
+        fs, path = self._versions()
+        if not fs.exists(path(f"{self.config.path}/current")):
+            return self.spark.createDataFrame([], "hash string, payload string, seq long, at long")
+        version = self.spark.read.parquet(f"{self.config.path}/current").orderBy(F.col("n").desc()).first()["version"]
+        return self.spark.read.parquet(f"{self.config.path}/{version}")
+
+    def put(self, contents: DataFrame) -> None:
+        """contents(content, seq, at), with seq greater than all before."""
+        version = f"v-{uuid.uuid4().hex}"
+        new = entries(contents).select("hash", "payload", F.col("seq").cast("long"), F.col("at").cast("long"))
+        rows = upsert(self.rows(), new)
+        if self.config.kind == "fifo":
+            rows = first_in_first_out(rows, self.config.capacity)
+        rows.write.parquet(f"{self.config.path}/{version}")
+        n = self.spark.read.parquet(f"{self.config.path}/{version}").agg(F.max("at")).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("n"))
+        n.write.mode("append").parquet(f"{self.config.path}/current")
+
+    def get(self, keys: DataFrame, now: int) -> DataFrame:
+        return get(alive(self.rows(), now, self.config.ttl_seconds), keys)
+
+    def count(self) -> int:
+        """Stored entries; those past their time count until they are put again or fall out of line."""
+        return self.rows().count()
+
+
+def from_config(spark: SparkSession, config: StoreConfig) -> TableStore:
+    if config.kind not in ("fifo", "table"):
+        raise ValueError(f"unknown store kind {config.kind!r}")
+    if config.kind == "fifo" and config.capacity <= 0:
+        config = StoreConfig(config.path, config.kind, CAPACITY, config.ttl_seconds)
+    return TableStore(spark, config)

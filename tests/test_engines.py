@@ -138,3 +138,91 @@ def test_pipeline(spark):
     assert out[2]["output"] == "prose" and not out[2]["steps"]
     assert out[3]["bytes_saved"] > 0 and out[3]["steps"][0] == "log_template"
     assert out[4]["steps"] == ["diff_noise", "diff_offload"] and len(out[4]["cache_keys"]) == 2
+
+
+def test_builder(spark):
+    from siftlake.config import PipelineConfig
+    from siftlake.plans import builder
+
+    rows = "[" + ", ".join('{"a": %d}' % i for i in range(60)) + "]"
+    blocks = spark.createDataFrame([(1, rows), (2, None), (3, ""), (4, "\n".join(f"src/m.go:42:hit number {i} of many" for i in range(60)))], "block_id long, content string")
+    crushed = builder.default_builder(lambda text, query: F.when(text.contains('"a":7}'), F.concat(F.lit("crushed "), F.lit(query)))).with_offload(builder.SEARCH_OFFLOAD)
+    out = {r["block_id"]: r for r in crushed.build().run(blocks, "q", stored=True).collect()}
+    small = rows.replace(" ", "")
+    key = hashlib.md5(small.encode()).hexdigest()[:24]
+    assert out[1]["output"] == f"crushed q\n[json_offload CCR: hash={key}]" and out[1]["steps"] == ["json_minifier", "json_offload"]
+    assert [tuple(s) for s in out[1]["stored"]] == [(key, small)]
+    assert out[2]["output"] is None and out[3]["output"] == "" and not out[2]["steps"]
+    assert out[4]["steps"] == ["search_offload"] and out[4]["stored"][0]["payload"] == blocks.where("block_id = 4").first()["content"]
+    # a target that any text meets stops the reformats
+    lazy = builder.Builder().with_reformat(builder.JSON_MINIFIER).with_config(PipelineConfig(target_ratio=1.0)).build()
+    assert lazy.run(blocks).where("block_id = 1").first()["output"] == rows
+    assert builder.Builder().build().run(blocks).count() == 4
+    with pytest.raises(ValueError):
+        builder.Builder().with_offload(builder.Offload("none", ("diff",), lambda blocks, query: blocks))
+
+
+def test_stream(spark, tmp_path):
+    from siftlake.sources.corpora import diff_blocks
+    from siftlake.streaming.condensing import condensed_stream, stored_texts
+
+    blocks = diff_blocks(spark, "/root/testdata/sf0.001").select("block_id", "content")
+    blocks.where("block_id % 2 = 0").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second run resumes and finds what came in between
+        source = spark.readStream.schema(blocks.schema).parquet(f"{tmp_path}/in")
+        condensed_stream(source, f"{tmp_path}/out", f"{tmp_path}/store", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        blocks.where("block_id % 2 = 1").write.mode("append").parquet(f"{tmp_path}/in")
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    texts = {r["hash"]: r["payload"] for r in stored_texts(spark, f"{tmp_path}/store").collect()}
+    want = {r["block_id"]: r["content"] for r in blocks.collect()}
+    assert sorted(r["block_id"] for r in out) == sorted(want)
+    assert all(texts[r["cache_keys"][0]] == want[r["block_id"]] for r in out if r["cache_keys"]) and any(r["cache_keys"] for r in out)
+    assert stored_texts(spark, f"{tmp_path}/store", now=1 << 40).count() == 0
+
+
+def test_store_kinds(spark, tmp_path):
+    def puts(*rows):
+        return spark.createDataFrame(list(rows), "content string, seq long, at long")
+
+    fifo = store.from_config(spark, store.StoreConfig(f"{tmp_path}/f", "fifo", capacity=2))
+    assert fifo.count() == 0
+    fifo.put(puts(("a", 1, 0), ("b", 2, 0)))
+    fifo.put(puts(("a", 3, 9), ("c", 4, 9)))
+    assert {r["payload"] for r in fifo.rows().collect()} == {"b", "c"}  # renewing a key keeps its place
+    table = store.from_config(spark, store.StoreConfig(f"{tmp_path}/t", ttl_seconds=5))
+    table.put(puts(("a", 1, 0), ("b", 2, 7)))
+    keys = table.rows().select("hash")
+    assert table.count() == 2 and [r["payload"] for r in table.get(keys, 9).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        store.from_config(spark, store.StoreConfig("x", "redis"))
+
+
+def test_models(spark, tmp_path):
+    import base64
+
+    from siftlake.functions.tokenizer import count_tokens, encoding_of
+
+    assert [encoding_of(m) for m in ("GPT-4o-mini", "gpt-4-turbo", "o3", "other")] == ["o200k_base", "cl100k_base", "o200k_base", None]
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abab"]
+    (tmp_path / "cl100k_base.tiktoken").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    assert one(spark, "ababab c", lambda c: count_tokens(c, "gpt-4", str(tmp_path))) == 4
+    assert one(spark, None, lambda c: count_tokens(c, "gpt-4", str(tmp_path))) is None
+    assert one(spark, "ababab c", lambda c: count_tokens(c, "o1", str(tmp_path))) == 2
+
+
+def test_scorers(spark):
+    x = spark.createDataFrame([("alpha beta",)], "item string")
+    assert relevance.scorer("BM25")(x, F.lit("alpha")).first()["reason"].startswith("BM25")
+    assert relevance.scorer("hybrid")(x, F.lit("alpha")).first()["reason"].startswith("Hybrid")
+    for tier in ("embedding", "other"):
+        with pytest.raises(ValueError):
+            relevance.scorer(tier)
+
+
+@pytest.mark.parametrize("text,alpha", [("x 0a1b2c3d-0000-1111-2222-333344445555", 0.85), ("1234 and 56789", 0.75), ("id 1234", 0.65), ("12345x", 0.5), ("see host.example", 0.6), ("me+you@x.io", 0.6), ("@.-", 0.5), ("", 0.5)])
+def test_alpha(spark, text, alpha):
+    assert one(spark, text, relevance.hybrid_alpha) == alpha
+
+
+def test_html_names(spark):
+    assert one(spark, "DIV", scalars.html_tag) and not one(spark, "think", scalars.html_tag)
