@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the rolling hash of the last 16 bytes is small, so an insertion moves only the chunks
-around it.  Chunks are compared by digest over all documents.  A stretch of successive chunks that an
-earlier place holds too is a repeat when it is long enough and most of it has one first document.
+around it.  Chunks are compared by digest over all documents.  A stretch of successive chunks that
+earlier places hold too is a repeat when it is long enough; one of several first documents is split.
 """
 
 from __future__ import annotations
@@ -112,16 +112,21 @@ def _spans(least: int):
         source = np.zeros(len(heads), np.int64)
         most[of[best][final]] = part[best][final]
         source[of[best][final]] = first[order][at][best][final]
-        ok = (total >= least) & (2 * most >= total)
-        return pd.DataFrame({"doc_id": doc[heads][ok], "start_byte": start[heads][ok], "end_byte": end[last][ok], "first_doc_id": source[ok]}, columns=names)
+        # a run without a main first document is split where the first document changes
+        own = np.where((2 * most >= total)[run], source[run], first)
+        heads = np.flatnonzero(head | np.r_[True, own[1:] != own[:-1]])
+        last = np.r_[heads[1:], len(doc)] - 1
+        ok = (total >= least)[run[heads]]
+        return pd.DataFrame({"doc_id": doc[heads][ok], "start_byte": start[heads][ok], "end_byte": end[last][ok], "first_doc_id": own[heads][ok]}, columns=names)
 
     return finish
 
 
 def repeated_substrings(documents: DataFrame, mean: int = 24, most: int = 4096, least: int = 96, batch_rows: int = 2000) -> DataFrame:
     """Rows (doc_id, start_byte, end_byte, first_doc_id): stretches of chunks whose digests occur at an
-    earlier place (by doc_id, then position), of `least` bytes or more, at least half of them first seen
-    in first_doc_id.  Offsets are in UTF-8 bytes, never within a character.
+    earlier place (by doc_id, then position), of `least` bytes or more.  A stretch with at least half of its
+    bytes first seen in one document is one row; any other is split, whole, into rows at each change of the
+    first document, so these may be shorter than `least`.  Offsets are in UTF-8 bytes, never within a character.
 
     Null and empty texts give none.  doc_id names a text: the same row twice repeats nothing by that.
     Other columns aren't read.  Memory: one batch, or one fragment of the digest order, per task.

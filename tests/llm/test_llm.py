@@ -128,6 +128,33 @@ def test_chunks_resist_shifts(spark, corpus):
     assert set(passages) <= found and not found & set(range(40))
 
 
+def test_stretches_of_several_sources_stay(spark, corpus):
+    rng = random.Random(8)
+    parts = [prose(rng, 60) for _ in range(4)]
+    joined = " ".join(parts)
+    texts = [*corpus, *parts, joined, joined, prose(rng, 50)]
+    raw = [(t or "").encode() for t in texts]
+    doc, start, size, h = cdc.chunks(raw, 24, 4096)
+    first, runs = {}, []
+    for d, a, n, x in zip(doc.tolist(), start.tolist(), size.tolist(), h.tolist(), strict=True):
+        if first.setdefault(x, (d, a)) != (d, a):
+            if runs and runs[-1][0] == d and runs[-1][2] == a:
+                runs[-1][2] = a + n
+            else:
+                runs.append([d, a, a + n])
+    want = {(d, i) for d, a, b in runs if b - a >= 96 for i in range(a, b)}
+    rows = cdc.repeated_substrings(table(spark, texts), batch_rows=16).collect()
+    got = [(r["doc_id"], i) for r in rows for i in range(r["start_byte"], r["end_byte"])]
+    assert len(got) == len(set(got)) and set(got) == want
+    copy = len(corpus) + 5
+    assert sorted(i for d, i in got if d == copy) == [*range(len(raw[copy]))]
+    source = {a: first[x][0] for d, a, x in zip(doc.tolist(), start.tolist(), h.tolist(), strict=True) if d == copy}
+    for r in rows:
+        if r["doc_id"] == copy:
+            assert {f for a, f in source.items() if r["start_byte"] <= a < r["end_byte"]} == {r["first_doc_id"]}
+    assert {r["first_doc_id"] for r in rows if r["doc_id"] == copy} >= set(range(len(corpus), copy - 1))
+
+
 def test_shards(spark, corpus):
     rows = sharding.balanced_shards(table(spark, corpus)).toPandas()
     counts = rows.groupby("shard").size().reindex(range(40), fill_value=0)
