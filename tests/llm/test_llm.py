@@ -164,6 +164,31 @@ def test_shards(spark, corpus):
     assert all(by[i] == (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in enumerate(corpus))
 
 
+def test_groups_up_to_a_shard_stay_together(spark):
+    from pyspark.sql import functions as F
+
+    def shards_of(total, sizes, **params):
+        ends = np.cumsum(sizes).tolist()
+        group = F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e <= F.col("doc_id")))
+        docs = spark.range(total).withColumnRenamed("id", "doc_id").withColumn(
+            "text", F.when(F.col("doc_id") < ends[-1], F.concat(F.lit("copy "), group)).otherwise(F.concat(F.lit("own "), "doc_id")))
+        rows = sharding.balanced_shards(docs, **params).toPandas()
+        counts = rows.groupby("shard").size().reindex(range(40), fill_value=0)
+        assert len(rows) == rows["doc_id"].nunique() == total and counts.max() - counts.min() <= 1
+        assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in rows.groupby("shard"))
+        rows = rows[rows["doc_id"] < ends[-1]]
+        return rows.groupby(np.searchsorted(ends, rows["doc_id"], side="right"))["shard"].nunique().tolist()
+
+    assert shards_of(10_000, [250, 249, 130, 60, 2, 2]) == [1] * 6
+    assert shards_of(300, [7, 7, 5, 3, 2, 2]) == [1] * 6
+    assert shards_of(10_000, [250] * 40) == [1] * 40
+    assert shards_of(10_000, [1130, 40]) == [5, 1]  # four full shards and a rest
+    small = [2] * 900 + [3] * 300 + [9, 40, 700]
+    assert shards_of(40_000, small, quota_buckets=64) == [1] * len(small)
+    tight = shards_of(40_000, [2] * 20_000, quota_buckets=64)  # no single documents
+    assert sum(n - 1 for n in tight) < 40
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 16)).astype(np.float32)
