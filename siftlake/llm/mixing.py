@@ -42,15 +42,9 @@ def fitted(cells: DataFrame, dims: list[str], alpha: float, sweeps: int) -> Data
     return now
 
 
-def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, least: float = 0.5, seed: str = "mix") -> DataFrame:
-    """Rows (doc_id, source, lang, topic, n_tokens, probability, kept), one per input row.
-
-    Tokens are words.  Targets: each marginal's token shares to the power alpha, so large sources give way
-    to small ones.  The whole is scaled to the largest sample in which no probability passes 1, but not under
-    `least` of all tokens in expectation; cells that would pass 1 then are kept whole.  A null
-    source or language is the category ''.  Texts without words have weight 0 tokens; they are kept, as
-    they change no marginal.  Equal ids fare alike.
-    """
+def expected_copies(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, least: float = 0.5) -> DataFrame:
+    """Rows (doc_id, source, lang, topic, n_tokens, copies), one per input row: how often a document belongs
+    in a sample that meets all targets, in expectation.  Cells above 1 are wanted more than once.  See mixing_rates."""
     docs = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"),
                             F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     slim = C.cut(docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"),
@@ -59,16 +53,34 @@ def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, leas
     cells = C.cut(slim.where("n_tokens > 0").groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     fit = fitted(cells, dims, alpha, sweeps).withColumn("ratio", F.col("weight") / F.col("tokens"))
     most = fit.agg(F.max("ratio").alias("most"))
-    rates = fit.crossJoin(F.broadcast(most)).select(*dims, F.least(F.lit(1.0), F.col("ratio") * F.greatest(F.lit(1.0) / F.col("most"), F.lit(least))).alias("probability"))  # one row
-    out = slim.join(rates, dims, "left").withColumn("probability", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("probability")))
-    return out.withColumn("kept", C.hash_unit(F.col("doc_id"), seed) < F.col("probability")).select(
-        "doc_id", *dims, "n_tokens", "probability", "kept")
+    rates = fit.crossJoin(F.broadcast(most)).select(*dims, (F.col("ratio") * F.greatest(F.lit(1.0) / F.col("most"), F.lit(least))).alias("copies"))  # one row
+    return slim.join(rates, dims, "left").select("doc_id", *dims, "n_tokens", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("copies")).alias("copies"))
 
 
-def mixed(docs: DataFrame, **params) -> DataFrame:
-    """docs sampled to the target weights; columns unchanged."""
-    kept = mixing_rates(docs, **params).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def mixing_rates(documents: DataFrame, alpha: float = 0.7, sweeps: int = 6, least: float = 0.5, seed: str = "mix") -> DataFrame:
+    """Rows (doc_id, source, lang, topic, n_tokens, probability, kept), one per input row.
+
+    Tokens are words.  Targets: each marginal's token shares to the power alpha, so large sources give way
+    to small ones.  The whole is scaled to the largest sample in which no probability passes 1, but not under
+    `least` of all tokens in expectation; cells that would pass 1 then are kept whole, as in the SQL, so the
+    sample falls short of their targets (`mixed` repeats them instead).  A null
+    source or language is the category ''.  Texts without words have weight 0 tokens; they are kept, as
+    they change no marginal.  Equal ids fare alike.
+    """
+    out = expected_copies(documents, alpha, sweeps, least).withColumn("probability", F.least(F.lit(1.0), F.col("copies")))
+    return out.withColumn("kept", C.hash_unit(F.col("doc_id"), seed) < F.col("probability")).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+def mixed(docs: DataFrame, seed: str = "mix", **params) -> DataFrame:
+    """docs sampled to the target weights; columns unchanged.  A document of a cell that the targets want more
+    than once is repeated: the whole part of its expected copies, and one more by the number from its id."""
+    wanted = expected_copies(docs, **params)
+    whole = F.floor("copies")
+    times = (whole + (C.hash_unit(F.col("doc_id"), seed) < F.col("copies") - whole).cast("long")).cast("int").alias("_times")
+    kept = wanted.select("doc_id", times).where("_times > 0").groupBy("doc_id").agg(F.max("_times").alias("_times"))
+    return (docs.join(kept, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .select(*docs.columns))
 
 
 def mixing_sql(alpha: float = 0.7, sweeps: int = 6, least: float = 0.5, seed: str = "mix") -> str:

@@ -234,6 +234,27 @@ def test_mixing_and_quality_edges(spark, corpus):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == set(scores.loc[scores.kept, "doc_id"])
 
 
+def test_mixed_meets_targets(spark):
+    from pyspark.sql import functions as F
+
+    i = F.col("doc_id")
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").select(
+        "doc_id", F.when(i % 50 == 0, F.repeat(F.lit("loud!! "), 8)).when(i % 30 == 0, F.repeat(F.lit("a| "), 8)).otherwise(F.repeat(F.lit("calm word "), 4)).alias("text"),
+        F.when(i % 11 == 0, "de").otherwise("en").alias("lang"), F.when(i % 17 == 0, "rare").when(i % 3 == 0, "some").otherwise("main").alias("source"))
+    want = mixing.expected_copies(docs).toPandas()
+    assert want["copies"].max() > 1.5
+    by = want.set_index("doc_id")
+    got = by.loc[mixing.mixed(docs).toPandas()["doc_id"]]
+    assert got.index.nunique() < len(got)
+    for d in ("source", "lang", "topic"):
+        own = want.groupby(d)["n_tokens"].sum() ** 0.7
+        target = own / own.sum()
+        expected = (want["copies"] * want["n_tokens"]).groupby(want[d]).sum()
+        assert np.allclose(expected / expected.sum(), target[expected.index], rtol=1e-4)
+        drawn = got.groupby(d)["n_tokens"].sum()
+        assert np.allclose(drawn / drawn.sum(), target[drawn.index], rtol=0.06)
+
+
 def test_top_k(spark):
     values = [float(v) for v in np.random.default_rng(1).normal(size=500)] + [3.0] * 20
     df = spark.createDataFrame([(v,) for v in values], "key double")
