@@ -2,10 +2,11 @@
 
 Of all word suffixes only those at minimiser positions are retained: the least hash of k-word grams in
 every window of w.  Any run of k + w - 1 words holds one, and equal runs hold the same.  The retained
-suffixes are sorted by their first k words in fragments of the hash order, and neighbours that agree are
-matches.  Around each match every run of k + w - 1 words that contains the suffix's head is compared,
-which extends the match left and right word by word; overlapping runs join into maximal passages.  A
-passage is a repeat where an earlier place (by doc_id, then position) holds the same words.
+suffixes are grouped by the hash of their first k words in fragments of the hash order; equal hashes are
+matches.  Around each match every run of k + w - 1 words that contains the suffix's head is compared by its
+hash, which stands in for sorting suffixes and extending matches word by word: it needs no texts beside each
+other.  Overlapping runs join into maximal passages.  A passage is a repeat where an earlier place (by
+doc_id, then position) holds the same words, up to collisions of hashes.
 """
 
 from __future__ import annotations
