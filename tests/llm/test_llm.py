@@ -291,3 +291,74 @@ def test_sql(spark, name):
     columns = sorted(ours.columns)
     a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (ours, theirs))
     assert a.equals(b)
+
+
+def test_pipeline_stages(spark, corpus, tmp_path):
+    """Near duplicates, passages and mixing against plain Python, on each stage's own input."""
+    import math
+    import re
+
+    import corpus_pipeline
+
+    table(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 30), 0) for i in range(45)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, steps = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = sorted(docs.collect(), key=lambda r: r["doc_id"])
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        steps[name] = before, docs.collect()
+
+    before, after = steps["near_duplicates"]
+    sets = _sets([r["text"] for r in before])
+    component = [*range(len(before))]
+    for i in range(len(before)):
+        for j in range(i):
+            if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((component[i], component[j]))
+                component = [a if c == b else c for c in component]
+    assert sorted(r["doc_id"] for r in after) == [r["doc_id"] for i, r in enumerate(before) if component[i] == i]
+
+    before, after = steps["passages"]
+    words = {r["doc_id"]: re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode()) for r in before}
+    first, marked = {}, set()
+    for d, w in words.items():
+        for p in range(len(w) - 44):
+            if first.setdefault(tuple(w[p : p + 45]), (d, p)) != (d, p):
+                marked |= {(d, q) for q in range(p, p + 45)}
+    left = {d: [x for q, x in enumerate(w) if (d, q) not in marked] for d, w in words.items()}
+    touched = {d for d, _ in marked}
+    want = {d: w for d, w in left.items() if d not in touched or len(w) >= 5}
+    assert {r["doc_id"]: re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode()) for r in after} == want
+
+    before, after = steps["mixing"]
+    cells, of = {}, {}
+    for r in before:
+        t = r["text"] or ""
+        n = len(re.findall(r"[^ \t\n\r\x0B\f]+", t))
+        topic = ("table" if t.count("|") * 4 > n else "shout" if t.count("!!") * 2 > n
+                 else "marked" if len(re.findall(r"[#$%&*]{3}", t)) * 2 > n else "long" if n >= 400 else "prose")
+        of[r["doc_id"]] = cell = (r["source"] or "", r["lang"] or "", topic)
+        if n:
+            cells[cell] = cells.get(cell, 0) + n
+        else:
+            of[r["doc_id"]] = None
+    weight, total = dict(cells), sum(cells.values())
+    for _ in range(6):
+        for k in range(3):
+            own, has = {}, {}
+            for c in cells:
+                own[c[k]] = own.get(c[k], 0) + cells[c]
+                has[c[k]] = has.get(c[k], 0) + weight[c]
+            powers = sum(v**0.7 for v in own.values())
+            weight = {c: w * own[c[k]] ** 0.7 / powers * total / has[c[k]] for c, w in weight.items()}
+    ratio = {c: weight[c] / cells[c] for c in cells}
+    scale = max(1 / max(ratio.values()), 0.5)
+    ids = []
+    for d, cell in of.items():
+        copies = 1.0 if cell is None else ratio[cell] * scale
+        draw = int(hashlib.md5(f"{d}|mix".encode()).hexdigest()[:12], 16) / 2**48
+        ids += [d] * (math.floor(copies) + (draw < copies - math.floor(copies)))
+    assert sorted(r["doc_id"] for r in after) == sorted(ids)
+
+    assert sorted(r["doc_id"] for r in steps["tokens"][1]) == sorted(ids)
