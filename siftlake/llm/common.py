@@ -46,6 +46,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the scratch files of a table from `cut` that nothing will read again."""
+    hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/siftlake-" in path:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(hadoop).delete(target, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until none is a column of df (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def steady(df: DataFrame) -> DataFrame:
     """df, with the session's row batches no larger than long texts allow (in the scan and towards Python)."""
     conf = df.sparkSession.conf

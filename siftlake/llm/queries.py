@@ -36,7 +36,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mixing_rates(read_table(spark, sf_dir, "documents"))
-    return rates.withColumn("probability", F.round("probability", 6))
+    return rates.withColumn("copies", F.round("copies", 6))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,23 @@ def corpus():
     return [*base, *base[:5], *base[:1] * 12, *near, *(f"{prose(rng, 80)} {passage} {prose(rng, 40)}" for _ in range(6)), *ODD]
 
 
+def _topics(texts):
+    """Each text's anchor word, by counting words one by one."""
+    import regex
+
+    words = [regex.findall(r"\p{Ll}{3,16}", t or "") for t in texts]
+    df = {}
+    for found in words:
+        for w in set(found):
+            df[w] = df.get(w, 0) + 1
+    known = sorted(df, key=lambda w: (-df[w] * (len(texts) - df[w]), w))[:8]
+    out = []
+    for found in words:
+        scores = [(found.count(w) / df[w], -i, w) for i, w in enumerate(known) if w in found]
+        out.append(max(scores)[2] if scores else "")
+    return out
+
+
 def test_codec_matches_library():
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         library, own = Tokenizer.from_file(vocabulary(name)), bpe.Codec(vocabulary(name), short=8)
@@ -226,7 +243,7 @@ def test_resampler_blocks_agree():
 def test_mixing_and_quality_edges(spark, corpus):
     docs = table(spark, corpus)
     rates = mixing.mixing_rates(docs).toPandas()
-    assert len(rates) == len(corpus) and rates["probability"].between(0, 1).all()
+    assert len(rates) == len(corpus) and (rates["copies"] > 0).all() and ((rates["drawn"] - rates["copies"]).abs() < 1).all()
     labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(45)], "doc_id long, quality int, toxic int")
     scores = quality.quality_scores(docs, labels).toPandas()
     assert len(scores) == len(corpus) and scores.loc[scores.n_grams == 0, "kept"].all()
@@ -234,25 +251,47 @@ def test_mixing_and_quality_edges(spark, corpus):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == set(scores.loc[scores.kept, "doc_id"])
 
 
-def test_mixed_meets_targets(spark):
+def skewed_docs(spark, n=30_000):
+    """Words by id, so that topics differ by source and language; one source holds most rows."""
     from pyspark.sql import functions as F
 
     i = F.col("doc_id")
-    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").select(
-        "doc_id", F.when(i % 50 == 0, F.repeat(F.lit("loud!! "), 8)).when(i % 30 == 0, F.repeat(F.lit("a| "), 8)).otherwise(F.repeat(F.lit("calm word "), 4)).alias("text"),
+    words = F.when(i % 7 == 0, "river stone ").when(i % 5 == 0, "cloud rain wind ").otherwise("house garden ")
+    return spark.range(n).withColumnRenamed("id", "doc_id").select(
+        "doc_id", F.concat(F.repeat(words, 3), F.when(i % 4 == 0, F.repeat(F.lit("longer "), 9)).otherwise("")).alias("text"),
         F.when(i % 11 == 0, "de").otherwise("en").alias("lang"), F.when(i % 17 == 0, "rare").when(i % 3 == 0, "some").otherwise("main").alias("source"))
-    want = mixing.expected_copies(docs).toPandas()
-    assert want["copies"].max() > 1.5
-    by = want.set_index("doc_id")
-    got = by.loc[mixing.mixed(docs).toPandas()["doc_id"]]
-    assert got.index.nunique() < len(got)
+
+
+def test_mixed_meets_targets(spark):
+    docs = skewed_docs(spark)
+    rates = mixing.mixing_rates(docs).toPandas()
+    assert rates["topic"].nunique() > 3 and rates["copies"].max() > 1
+    mixed = mixing.mixed(docs.withColumn("topic", docs["lang"])).toPandas()
+    assert list(mixed.columns) == ["doc_id", "text", "lang", "source", "topic"] and set(mixed["topic"]) == {"en", "de"}
+    by = rates.set_index("doc_id")
+    got = by.loc[mixed["doc_id"]]
+    assert (mixed.groupby("doc_id").size() == by["drawn"][by["drawn"] > 0].sort_index()).all()
     for d in ("source", "lang", "topic"):
-        own = want.groupby(d)["n_tokens"].sum() ** 0.7
+        own = rates.groupby(d)["n_tokens"].sum() ** 0.7
         target = own / own.sum()
-        expected = (want["copies"] * want["n_tokens"]).groupby(want[d]).sum()
-        assert np.allclose(expected / expected.sum(), target[expected.index], rtol=1e-4)
-        drawn = got.groupby(d)["n_tokens"].sum()
-        assert np.allclose(drawn / drawn.sum(), target[drawn.index], rtol=0.06)
+        expected = (rates["copies"] * rates["n_tokens"]).groupby(rates[d]).sum()
+        assert np.allclose(expected / expected.sum(), target[expected.index], rtol=1e-6, atol=0)
+        sampled = got.groupby(d)["n_tokens"].sum()
+        assert np.allclose(sampled / sampled.sum(), target[sampled.index], rtol=0.08)
+    whole = mixing.mixing_rates(docs, least=0.0).toPandas()
+    assert whole["copies"].max() == pytest.approx(1.0)
+
+
+def test_raking_as_a_table_agrees(spark):
+    docs = skewed_docs(spark, 3000)
+    a, b = (mixing.mixing_rates(docs, most_local=n, sweeps=12).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (50_000, 3))
+    assert np.allclose(a["copies"], b["copies"], rtol=1e-9) and (a["topic"] == b["topic"]).all()
+
+
+def test_topics_by_brute_force(spark, corpus):
+    topics = _topics(corpus)
+    rows = mixing.mixing_rates(table(spark, corpus)).collect()
+    assert {r["doc_id"]: r["topic"] for r in rows} == dict(enumerate(topics))
 
 
 def test_top_k(spark):
@@ -333,18 +372,15 @@ def test_pipeline_stages(spark, corpus, tmp_path):
 
     before, after = steps["mixing"]
     cells, of = {}, {}
-    for r in before:
-        t = r["text"] or ""
-        n = len(re.findall(r"[^ \t\n\r\x0B\f]+", t))
-        topic = ("table" if t.count("|") * 4 > n else "shout" if t.count("!!") * 2 > n
-                 else "marked" if len(re.findall(r"[#$%&*]{3}", t)) * 2 > n else "long" if n >= 400 else "prose")
+    for r, topic in zip(before, _topics([r["text"] for r in before]), strict=True):
+        n = len(re.findall(r"[^ \t\n\r\x0B\f]+", r["text"] or ""))
         of[r["doc_id"]] = cell = (r["source"] or "", r["lang"] or "", topic)
         if n:
             cells[cell] = cells.get(cell, 0) + n
         else:
             of[r["doc_id"]] = None
     weight, total = dict(cells), sum(cells.values())
-    for _ in range(6):
+    for _ in range(40):
         for k in range(3):
             own, has = {}, {}
             for c in cells:
