@@ -23,7 +23,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.with_digests(bpe.encode_decode(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

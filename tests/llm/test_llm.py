@@ -56,21 +56,84 @@ def _topics(texts):
     return out
 
 
+LONG = ["it's'they'll'" * 200, "don'''t!!'s" * 100, "a1b2" * 500, "नमस्ते" * 300, "한국어 각 각" * 60]
+
+
 def test_codec_matches_library():
+    rng = random.Random(4)
+    mixed = ["".join(rng.choices("abcé'!, 12\n  <|>🎉\u0301ΣA", k=rng.randint(1, 600))) for _ in range(100)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        library, own = Tokenizer.from_file(vocabulary(name)), bpe.Codec(vocabulary(name), short=8)
-        for text in filter(None, ODD):
-            ids = library.encode(text, add_special_tokens=False).ids
-            assert own.encode(text).tolist() == ids
-            assert own.decode(np.array(ids, "<u4")) == library.decode(ids, skip_special_tokens=False)
-
-
-def test_transducer_streams_with_bounded_window():
-    own = bpe.codec(vocabulary("word_bpe_49k.json"))
-    rng = random.Random(1)
-    for _ in range(20):
-        text = "".join(rng.choices("abetinosr", k=rng.randint(1, 400)))
-        assert [*own.machine.stream(own._suffixed(text))] == own.machine.direct(own.machine.symbols(text))
+        library = Tokenizer.from_file(vocabulary(name))
+        for slice_ in (37, 1000, 1 << 16):
+            own = bpe.Codec(vocabulary(name), slice_=slice_, step=8)
+            for text in [*filter(None, ODD), *LONG, *mixed]:
+                ids = library.encode(text, add_special_tokens=False).ids
+                assert own.encode(text).tolist() == ids
+                assert own.decode(np.array(ids, "<u4")) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query_matches_library(spark, corpus):
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    docs = table(spark, [*corpus, *LONG])
+    docs = docs.union(docs.where("doc_id < 3")).withColumn("ids", docs["n"]).withColumn("n_tokens", docs["g"])
+    rows = bpe.digests(docs, vocabulary("word_bpe_49k.json")).collect()
+    whole = {r["doc_id"]: r for r in bpe.encode_decode(docs, vocabulary("word_bpe_49k.json")).collect()}
+    assert len(rows) == len(corpus) + len(LONG) + 3
+    for r in rows:
+        text = [*corpus, *LONG][r["doc_id"]] or ""
+        ids = library.encode(text, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+        assert bpe.unpacked(whole[r["doc_id"]]["ids"]) == ids and whole[r["doc_id"]]["decoded"] == back
+
+
+def test_lookahead_is_sufficient_and_tight():
+    """No boundary that far before a prefix's end is moved by what follows; over random lists some need it all."""
+    rng, tight = random.Random(1), 0
+    for trial in range(400):
+        letters = "abc"[: 2 + trial % 2]
+        tokens, merges = [*letters], []
+        for _ in range(rng.randint(1, 9)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens:
+                merges.append((a, b))
+                tokens.append(a + b)
+        machine = bpe.Transducer({t: i for i, t in enumerate(tokens)}, merges)
+
+        def ends(text, machine=machine):
+            return set(np.cumsum([len(t) for t in machine.merged([*text])]).tolist())
+
+        need = 0
+        for _ in range(12):
+            text = "".join(rng.choices(letters, k=rng.randint(1, 50)))
+            whole = ends(text)
+            for cut in range(1, len(text)):
+                moved = {e for e in ends(text[:cut]) ^ whole if e <= cut}
+                need = max([need, *(cut - e + 1 for e in moved)])
+        assert need <= machine.lookahead
+        tight += need == machine.lookahead
+    assert tight > 100
+
+
+def test_every_pretoken_streams_in_bounded_windows():
+    own = bpe.Codec(vocabulary("word_bpe_49k.json"), slice_=500, step=16)
+    assert 0 < own.machine.lookahead < 1000
+    held, feed = [], bpe.Stream.feed
+
+    def watched(self, letters):
+        out = feed(self, letters)
+        held.append(len(self.waiting))
+        return out
+
+    bpe.Stream.feed = watched
+    try:
+        words = [prose(random.Random(i), 1) for i in range(300)]
+        text = " ".join(words) + " " + "abetinosr" * 3000
+        own.encode(text)
+    finally:
+        bpe.Stream.feed = feed
+    assert own.machine.runs == len(set(words)) + 1 and max(held) <= own.machine.window
 
 
 def test_counts_match_library():
