@@ -7,6 +7,7 @@ words or shingles collide with probability about 2**-64 per compared pair.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -128,14 +129,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each span; data is uint8 and at most a few MB."""
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of data[start:end] for each span."""
     up, down = _tables(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    size = (end - start).astype(np.uint64)
-    return mix((total[end] - total[start]) * down[start] + size * np.uint64(0xD6E8FEB86659FD93))
+    return (total[end] - total[start]) * down[start]
+
+
+def _finish(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for each span; data is uint8 and at most a few MB."""
+    return _finish(_sums(data, start, end), end - start)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -144,22 +153,33 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _blocks(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Pieces of about 1 MB that end at white space, with their offsets."""
+def _blocks(text: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    """Pieces of about 1 MB with their offsets, and whether a word goes on after the piece: they end before
+    white space where some comes within another MB."""
     at = 0
     while len(text) - at > _BLOCK:
         stop = at + _BLOCK
-        while stop < len(text) and not _SPACE[text[stop]]:
-            stop += 1
-        yield at, text[at:stop]
+        found = _GAP.search(text, stop, stop + _BLOCK)
+        stop = found.start() if found else min(stop + _BLOCK, len(text))
+        yield at, text[at:stop], found is None and stop < len(text)
         at = stop
-    yield at, text[at:]
+    yield at, text[at:], False
+
+
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def _word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    space = _SPACE[data].view(np.int8)
+    edge = np.diff(space, prepend=np.int8(1), append=np.int8(1))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
 def words(texts: list[bytes], lower: bool = True, spans: bool = False):
     """Word hashes of all texts in order, and how many each has; with spans, also byte offsets in each text.
 
-    A word is a run of bytes other than space and 0x09-0x0D; A-Z fold to a-z if lower.
+    A word is a run of bytes other than space and 0x09-0x0D; A-Z fold to a-z if lower.  A word of any
+    length is hashed piece by piece, so memory beside the texts and results stays bounded.
     """
     hashes, starts, ends = [], [], []
     counts = np.zeros(len(texts), np.int64)
@@ -167,17 +187,16 @@ def words(texts: list[bytes], lower: bool = True, spans: bool = False):
     owner: list[tuple[int, int]] = []
     size = 0
 
+    def bytes_of(piece: bytes) -> np.ndarray:
+        data = np.frombuffer(piece, np.uint8)
+        return _LOWER[data] if lower else data
+
     def flush() -> None:
         nonlocal size
         if not group:
             return
-        data = np.frombuffer(b" ".join(group) + b" ", np.uint8)
-        if lower:
-            data = _LOWER[data]
-        space = _SPACE[data]
-        edge = np.diff(space.view(np.int8), prepend=np.int8(1))
-        s = np.flatnonzero(edge == -1)
-        e = np.flatnonzero(edge == 1)
+        data = bytes_of(b" ".join(group))
+        s, e = _word_spans(data)
         hashes.append(span_hashes(data, s, e))
         offsets = np.cumsum([0] + [len(x) + 1 for x in group])
         which = np.searchsorted(offsets, s, side="right") - 1
@@ -191,8 +210,35 @@ def words(texts: list[bytes], lower: bool = True, spans: bool = False):
         owner.clear()
         size = 0
 
+    def add_pieces(i: int, at: int, piece: bytes, going, more: bool):
+        """The words of one piece, whose first may go on from `going` (sum, start) and whose last may go on."""
+        data = bytes_of(piece)
+        s, e = _word_spans(data)
+        sums, s, e = _sums(data, s, e), s + at, e + at
+        if going is not None:
+            held, begin = going
+            if len(s) and s[0] == at:
+                sums[0] = (held + pow(_BASE, at - begin, 1 << 64) * int(sums[0])) % (1 << 64)
+                s[0] = begin
+            else:
+                sums, s, e = np.r_[np.uint64(held), sums], np.r_[begin, s], np.r_[at, e]
+        going = (int(sums[-1]), int(s[-1])) if more and len(s) and e[-1] == at + len(piece) else None
+        if going is not None:
+            sums, s, e = sums[:-1], s[:-1], e[:-1]
+        hashes.append(_finish(sums, e - s))
+        counts[i] += len(s)
+        if spans:
+            starts.append(s)
+            ends.append(e)
+        return going
+
     for i, text in enumerate(texts):
-        for at, piece in _blocks(text):
+        going = None
+        for at, piece, more in _blocks(text):
+            if more or going is not None:
+                flush()
+                going = add_pieces(i, at, piece, going, more)
+                continue
             if size + len(piece) > _BLOCK:
                 flush()
             group.append(piece)
@@ -206,19 +252,20 @@ def words(texts: list[bytes], lower: bool = True, spans: bool = False):
     return joined, counts, np.concatenate(starts) if starts else none, np.concatenate(ends) if ends else none
 
 
-_GRAM = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n successive word hashes (order matters); runs over the ends of texts included."""
     if len(hashes) < n:
         return np.empty(0, np.uint64)
-    up, down = _tables(len(hashes) + 1)
-    total = np.empty(len(hashes) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(mix(hashes + np.uint64(0x9E3779B97F4A7C15)) * up[: len(hashes)], out=total[1:])
-    k = len(hashes) - n + 1
-    return mix((total[n:] - total[:k]) * down[:k] + np.uint64(n * 0xA24BAED4963EE407 % (1 << 64)))
+    out = np.empty(len(hashes) - n + 1, np.uint64)
+    for at in range(0, len(out), _BLOCK):  # in blocks, for the tables' sake
+        part = hashes[at : at + _BLOCK + n - 1]
+        up, down = _tables(len(part) + 1)
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(mix(part + np.uint64(0x9E3779B97F4A7C15)) * up[: len(part)], out=total[1:])
+        k = len(part) - n + 1
+        out[at : at + k] = mix((total[n:] - total[:k]) * down[:k] + np.uint64(n * 0xA24BAED4963EE407 % (1 << 64)))
+    return out
 
 
 # ---------------------------------------------------------------- blobs
