@@ -128,8 +128,8 @@ def repeated_substrings(documents: DataFrame, mean: int = 24, most: int = 4096,
     bytes first seen in one document is one row; any other is split, whole, into rows at each change of the
     first document, so these may be shorter than `least`.  Offsets are in UTF-8 bytes, never within a character.
 
-    Null and empty texts give none.  doc_id names a text: the same row twice repeats nothing by that.
-    Other columns aren't read.  Memory: one batch, or one fragment of the digest order, per task.
+    Null and empty texts, rows without an id and empty tables give none.  doc_id names a text: the same row
+    twice repeats nothing by that.  Other columns, whatever their names, aren't read.  Memory: one batch, or one fragment of the digest order, per task.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return repeated(docs, _items(mean, most), _spans(least), "doc_id long, start_byte long, end_byte long, first_doc_id long", batch_rows=batch_rows)

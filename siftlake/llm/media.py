@@ -170,11 +170,12 @@ class Features:
 
 def encode_audio(documents: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
     """Rows (doc_id, n_bytes, media), one per input row: the text's bytes, padded with spaces to a positive
-    multiple of 192, as an 8-bit WAV file.  Null is an empty text.  No shuffle."""
+    multiple of 192, as an 8-bit WAV file.  Null is an empty text; a null id stays null; repeated rows fare
+    alike, and an empty table gives no rows.  Other columns, whatever their names, aren't read.  No shuffle."""
 
     def run(frames):
         for pdf in C.pieces(frames, 512, 4 << 20):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(C.utf8(t)) for t in pdf["text"]],
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(C.utf8(t)) for t in pdf["text"]],
                                 "media": [to_wav(padded(t), config.rate) for t in pdf["text"]]})
 
     return C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")

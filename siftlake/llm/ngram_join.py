@@ -193,14 +193,17 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
 
     Links: 100 * intersection >= percent * union of distinct n-word shingles (A-Z folded; words are
     runs of non-space bytes; a text of fewer words is one shingle).  Null, empty and blank texts have
-    no shingles, no links and are their own component.  doc_id names a text: repeated rows are fine.
-    Other columns are not read.  Memory: one batch or one fragment of the hash order per task.
+    no shingles, no links and are their own component.  doc_id names a text: repeated rows are fine.  A row
+    without an id names none: it links with nothing and has null in all columns.  An empty table gives no
+    rows.  Other columns, whatever their names, are not read.  Memory: one batch or one fragment of the hash
+    order per task.
     Classes with more than named_buckets open buckets may meet in several of them; that costs, no more.
     """
     spark = documents.sparkSession
     n_frag = C.fragments(spark)
     wire = "batch long, frag int, blob binary"
-    sent = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    named_rows = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = named_rows.where("doc_id is not null").mapInPandas(
         _send(n, n_frag, batch_rows, batch_bytes), wire)
     told = sent.groupBy("frag").applyInPandas(_fragment, wire)
     sets = C.cut(told.groupBy("batch").applyInPandas(
@@ -245,14 +248,16 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
         "n_shingles", "f1", "f2", F.coalesce("component_id", "cid").alias("component_id"))
     keyed = sets.select("doc_id", "n_shingles", "f1", "f2", F.col("own").isNotNull().alias("live"))
     alone = keyed.where("not live").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    nameless = named_rows.where("doc_id is null").select("doc_id", F.col("doc_id").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return keyed.where("live").join(of_class, ["n_shingles", "f1", "f2"]).select(
-        "doc_id", "n_shingles", "component_id").union(alone)
+        "doc_id", "n_shingles", "component_id").union(alone).union(nameless)
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each component (its smallest doc_id); columns unchanged.
+    """docs with one document of each component (its smallest doc_id); columns unchanged, whatever their names.
 
-    A document of another id that shares nothing stays, as do all rows whose text is null or blank.
+    A document that shares nothing stays, as do all rows whose text is null or blank and those without an id.
     """
-    kept = ngram_components(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    (name,) = C.fresh(docs, "gone")
+    gone = ngram_components(docs, **params).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(C.cut(gone), docs["doc_id"].cast("long") == F.col(name), "left_anti")

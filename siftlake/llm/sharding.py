@@ -53,7 +53,8 @@ def balanced_shards(documents: DataFrame, n_shards: int = 40, rounds: int = 6, q
     The law is `rows`: the shards' row counts are at most one apart; slot numbers a shard's rows from 0
     without gaps.  size: UTF-8 bytes plus 16.  A null text counts no bytes, has checksum 0 and is linked
     with other nulls.  label is the shard that propagation chose; for documents that only fill room, the
-    one they started on.  Equal rows may swap slots.  An empty table gives no rows.
+    one they started on.  Equal rows may swap slots; a null id stays null.  An empty table gives no rows.
+    Other columns, whatever their names, aren't read.
 
     Groups of more rows than a shard are split into full parts and a rest.  Other groups are cut only where
     the room left in the shards is too scattered for them.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bpe import byte_letters
+from .bpe import byte_letters, split_pattern
 
 _NONE = np.int64(1 << 40)
 
@@ -33,7 +33,7 @@ class Counter:
         self.keys = keys[self.order]
         self.product = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.words = regex.compile(split_pattern(spec))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, int] = {}
         self.most, self.batch_symbols = memo, batch_symbols
@@ -118,8 +118,9 @@ def counter(path: str) -> Counter:
 def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one per input row, no shuffle.
 
-    Null and empty texts count no bytes and no tokens.  Other columns are not read.  Memory: one piece of
-    a batch and a bounded memo.
+    Null and empty texts count no bytes and no tokens; a null id stays null; repeated rows fare alike, and an
+    empty table gives no rows.  Other columns, whatever their names, are not read.  Memory: one piece of a
+    batch, its longest text's words, and a bounded memo.
     """
 
     def run(frames):
@@ -127,7 +128,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
         for pdf in C.pieces(frames, 512, 2 << 20):
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             n = own.count(texts)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(C.utf8(t)) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(C.utf8(t)) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
     return C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
