@@ -32,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.with_digests(bpe.encode_decode(docs, vocabulary("word_bpe_49k.json")))
+    return bpe.digests(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("passages", passage_stage),
