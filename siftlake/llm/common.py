@@ -81,9 +81,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fragments(spark: SparkSession) -> int:
-    """A power of two near twice the shuffle partitions: the hash order is cut into so many ranges."""
-    return min(1 << 14, 1 << max(3, (2 * shuffle_partitions(spark) - 1).bit_length()))
+def text_bytes(documents: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def fragments(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Into how many ranges the hash order is cut: a power of two, twice the shuffle partitions at least, and
+    so many that `size` bytes of texts come to about `each` a range."""
+    return 1 << (max(8, 2 * shuffle_partitions(spark), -(-size // each)) - 1).bit_length()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -268,6 +274,24 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def span_grams(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of hashes[start:end] for each span, which has at most a few hundred items; spans come by start."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + _BLOCK)))
+        low, high = int(start[at]), int(end[at:to].max())
+        part = hashes[low:high]
+        up, down = _tables(len(part) + 1)
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(mix(part + np.uint64(0x9E3779B97F4A7C15)) * up[: len(part)], out=total[1:])
+        s, e = start[at:to] - low, end[at:to] - low
+        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        at = to
+    return out
+
+
 # ---------------------------------------------------------------- blobs
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -320,14 +344,27 @@ def unsqueeze_sorted(b: np.ndarray) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view("<u8").astype(np.uint64), dtype=np.uint64)
 
 
-def placed(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes as fragment (of n, by the top bits) above their low 48 bits."""
-    return (h & np.uint64((1 << 48) - 1)) | ((h >> np.uint64(64 - (n - 1).bit_length())) << np.uint64(48))
+class Layout:
+    """Hashes in n ranges (fragments) of their order, n a power of two.  A placed hash holds its fragment
+    above its low 48 bits; from 65,536 fragments on it is the hash itself."""
+
+    def __init__(self, n: int) -> None:
+        self.bits = n.bit_length() - 1
+        self.down = max(0, self.bits - 16)  # of a fragment's number, what lies below bit 48
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        top = h >> np.uint64(64 - min(self.bits, 16))
+        return (h & np.uint64((1 << 48) - 1)) | (top << np.uint64(48))
 
+    def cuts(self, placed: np.ndarray) -> list[tuple[int, slice]]:
+        """The fragments of sorted placed hashes, and where each lies."""
+        frag = placed >> np.uint64(48 - self.down)
+        begin = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]) if len(frag) else np.empty(0, np.int64)
+        return [(int(frag[a]), slice(int(a), int(z))) for a, z in zip(begin, np.r_[begin[1:], len(frag)])]
 
-def fragment_starts(placed_: np.ndarray, n: int) -> np.ndarray:
-    """Where each fragment of sorted placed hashes begins."""
-    return np.searchsorted(placed_, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
+    def lead(self, frag: int) -> np.uint64:
+        """What the placed hashes of a fragment hold above their low 48 bits."""
+        return np.uint64(frag >> self.down << 48)
 
 
 def batch_key() -> int:

@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
-WIRE = "batch long, frag int, blob binary"
+WIRE = "batch long, frag long, blob binary"
 
 
 def _send(items: Callable, n_frag: int, batch_rows: int, batch_bytes: int):
+    layout = C.Layout(n_frag)
+
     def run(frames):
         key = C.batch_key()
         for pdf in C.pieces(frames, batch_rows, batch_bytes):
             doc, pos, h = items(pdf)  # doc ids, positions and hashes, in any order
-            h = C.placed(h, n_frag)
+            h = layout.place(h)
             order = np.lexsort((pos, doc, h))
             doc, pos, h = doc[order], pos[order], h[order]
             new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
@@ -32,11 +34,9 @@ def _send(items: Callable, n_frag: int, batch_rows: int, batch_bytes: int):
             many = np.repeat(times > 1, times)
             out = [(key, -1 - (key + (key >> 24)) % n_frag, C.pack(doc[many], pos[many], h[many]))]
             doc, pos, h, times = doc[new], pos[new], h[new], times.astype(np.uint32)
-            begin = C.fragment_starts(h, n_frag)
-            for f in np.flatnonzero(np.diff(begin)):
-                s = slice(begin[f], begin[f + 1])
+            for f, s in layout.cuts(h):
                 back = np.lexsort((pos[s], doc[s]))  # documents together: their ids pack well
-                out.append((key, int(f), C.pack(C.squeeze(h[s][back]), doc[s][back], pos[s][back], np.minimum(times[s][back], 255).astype(np.uint8))))
+                out.append((key, f, C.pack(C.squeeze(h[s][back]), doc[s][back], pos[s][back], np.minimum(times[s][back], 65535).astype(np.uint16))))
             yield pd.DataFrame(out, columns=["batch", "frag", "blob"])
             key += 1
 
@@ -58,7 +58,8 @@ def _fragment(shared: bool):
         heads = np.flatnonzero(new)
         first_doc, first_pos = doc[heads][group], pos[heads][group]
         if shared:
-            told = (np.add.reduceat(times.astype(np.int64), heads) >= 2)[group]
+            total = np.add.reduceat(times.astype(np.int64), heads)[group]
+            told, first_doc = total >= 2, total
         else:
             told = (doc != first_doc) | (pos != first_pos)
         h, doc, pos, first_doc, batch = h[told], doc[told], pos[told], first_doc[told], batch[told]
@@ -73,7 +74,9 @@ def _fragment(shared: bool):
     return run
 
 
-def _gather(shared: bool, finish: Callable):
+def _gather(n_frag: int, shared: bool, finish: Callable):
+    layout = C.Layout(n_frag)
+
     def run(key, pdf):
         told = [[np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]]
         own = None
@@ -82,7 +85,7 @@ def _gather(shared: bool, finish: Callable):
             if frag < 0:
                 own = part
             else:
-                told.append([part[0] | (np.uint64(frag) << np.uint64(48)), *(p.astype(np.int64) for p in part[1:])])
+                told.append([part[0] | layout.lead(frag), *(p.astype(np.int64) for p in part[1:])])
         h, doc, pos, first = (np.concatenate([t[i] for t in told]) for i in range(4))
         mdoc, mpos, mh = own[0].astype(np.int64), own[1].astype(np.int64), own[2]
         if len(mh):
@@ -108,14 +111,14 @@ def _gather(shared: bool, finish: Callable):
 
 
 def repeated(documents: DataFrame, items: Callable, finish: Callable, schema: str, shared: bool = False,
-             batch_rows: int = 2000, batch_bytes: int = 4 << 20) -> DataFrame:
+             batch_rows: int = 2000, batch_bytes: int = 4 << 20, n_frag: int = 0) -> DataFrame:
     """finish(doc, pos, first document) of each batch's items that occur earlier (by doc_id, then position),
-    or with `shared` of all items that occur more than once.  items(frame) gives doc ids, positions, hashes.
-    The same row twice counts as one place where only earlier places matter."""
-    n_frag = C.fragments(documents.sparkSession)
+    or with `shared` finish(doc, pos, occurrences) of all items that occur more than once.  items(frame) gives
+    doc ids, positions, hashes.  The same row twice counts as one place where only earlier places matter."""
+    n_frag = n_frag or C.fragments(documents.sparkSession, C.text_bytes(documents))
     sent = C.steady(documents).mapInPandas(_send(items, n_frag, batch_rows, batch_bytes), WIRE)
     told = sent.groupBy("frag").applyInPandas(_fragment(shared), WIRE)
-    return told.groupBy("batch").applyInPandas(_gather(shared, finish), schema)
+    return told.groupBy("batch").applyInPandas(_gather(n_frag, shared, finish), schema)
 
 
 def runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray):

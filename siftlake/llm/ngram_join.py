@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_LAST = 48
 _SKETCH = 16  # words of 64 bits
 
 
@@ -62,6 +61,8 @@ def _shingles(texts: list[bytes], n: int):
 
 
 def _send(n: int, n_frag: int, batch_rows: int, batch_bytes: int):
+    layout = C.Layout(n_frag)
+
     def run(frames):
         key = C.batch_key()
         for pdf in C.pieces(frames, batch_rows, batch_bytes):
@@ -70,7 +71,7 @@ def _send(n: int, n_frag: int, batch_rows: int, batch_bytes: int):
             one, two = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             np.add.at(one, docs, C.mix(hs ^ np.uint64(0x5851F42D4C957F2D)))
             np.add.at(two, docs, C.mix(hs + np.uint64(0x14057B7EF767814F)))
-            hs = C.placed(hs, n_frag)
+            hs = layout.place(hs)
             order = np.argsort(hs, kind="stable")
             docs, hs = docs[order].astype(np.uint16), hs[order]
             new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.empty(0, bool)
@@ -78,11 +79,11 @@ def _send(n: int, n_frag: int, batch_rows: int, batch_bytes: int):
             many = np.repeat(times > 1, times)
             out = [(key, -1 - (key + (key >> 24)) % n_frag, C.pack(ids, size, one, two, docs[many], hs[many]))]
             single, sdoc, mult, mtimes = hs[~many], docs[~many], hs[new][times > 1], times[times > 1].astype(np.uint32)
-            sb, mb = C.fragment_starts(single, n_frag), C.fragment_starts(mult, n_frag)
-            for f in range(n_frag):
-                s, m = slice(sb[f], sb[f + 1]), slice(mb[f], mb[f + 1])
-                if s.start < s.stop or m.start < m.stop:
-                    out.append((key, f, C.pack(C.squeeze_sorted(single[s]), sdoc[s], C.squeeze_sorted(mult[m]), mtimes[m])))
+            none = slice(0, 0)
+            ones, more = dict(layout.cuts(single)), dict(layout.cuts(mult))
+            for f in sorted({*ones, *more}):
+                s, m = ones.get(f, none), more.get(f, none)
+                out.append((key, f, C.pack(C.squeeze_sorted(single[s]), sdoc[s], C.squeeze_sorted(mult[m]), mtimes[m])))
             yield pd.DataFrame(out, columns=["batch", "frag", "blob"])
             key += 1
 
@@ -115,7 +116,7 @@ def _fragment(key, pdf):
 
 
 def _gather(n_frag: int, percent: int):
-    top = np.uint64(_LAST)
+    layout = C.Layout(n_frag)
 
     def run(key, pdf):
         docs, hs, dfs = [], [], []
@@ -126,7 +127,7 @@ def _gather(n_frag: int, percent: int):
             if frag < 0:
                 ids, size, one, two, mdoc, mh = part
             else:
-                lead = np.uint64(frag) << top
+                lead = layout.lead(frag)
                 docs.append(part[1].astype(np.int64))
                 hs.append(C.unsqueeze_sorted(part[0]) | lead)
                 dfs.append(part[2])
@@ -188,7 +189,7 @@ def _verify(pairs: DataFrame, segments: DataFrame, v: int, percent: int) -> Data
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_rows: int = 2000,
-                     batch_bytes: int = 4 << 20, verify_fragments: int = 4, named_buckets: int = 256) -> DataFrame:
+                     batch_bytes: int = 4 << 20, verify_fragments: int = 4, named_buckets: int = 256, fragments: int = 0) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents(doc_id, text, ...), one per input row.
 
     Links: 100 * intersection >= percent * union of distinct n-word shingles (A-Z folded; words are
@@ -200,9 +201,9 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
     Classes with more than named_buckets open buckets may meet in several of them; that costs, no more.
     """
     spark = documents.sparkSession
-    n_frag = C.fragments(spark)
-    wire = "batch long, frag int, blob binary"
     named_rows = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_frag = fragments or C.fragments(spark, C.text_bytes(named_rows))
+    wire = "batch long, frag long, blob binary"
     sent = named_rows.where("doc_id is not null").mapInPandas(
         _send(n, n_frag, batch_rows, batch_bytes), wire)
     told = sent.groupBy("frag").applyInPandas(_fragment, wire)
