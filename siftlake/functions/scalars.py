@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +34,25 @@ def marker(key: Column) -> Column:
     return F.concat(F.lit("<<ccr:"), key, F.lit(">>"))
 
 
+def cell_marker(key: Column, kind: Column, size: Column) -> Column:
+    """The marker of one opaque cell."""
+    return F.concat(F.lit("<<ccr:"), key, F.lit(","), kind, F.lit(","), size.cast("string"), F.lit(">>"))
+
+
+def lossy_marker(key: Column, rows: Column) -> Column:
+    """The marker of rows left out."""
+    return F.concat(F.lit("<<ccr:"), key, F.lit(" "), rows.cast("string"), F.lit("_rows_offloaded>>"))
+
+
 def marker_key(text: Column) -> Column:
     """The key of a canonical marker, else null."""
     key = F.regexp_extract(text, r"\A<<ccr:([0-9a-f]{24})>>\z", 1)
     return F.when(key != "", key)
 
 
-def token_estimate(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.char_length(text) / 4.0 + 0.5)).cast("long")
+def token_estimate(text: Column, per_token: float = 4.0) -> Column:
+    """Characters over per_token (4 if that isn't positive), rounded half up, at least 1."""
+    return F.greatest(F.lit(1), F.floor(F.char_length(text) / (per_token if per_token > 0 else 4.0) + 0.5)).cast("long")
 
 
 def model_tokenizer(model: Column) -> Column:
@@ -82,6 +95,15 @@ def signal(line: Column, context: str) -> Column:
     return F.struct(c.alias("category"), priority(c).alias("priority"), F.when(c.isNotNull(), MATCH_CONFIDENCE).otherwise(0.0).cast("float").alias("confidence"))
 
 
+#: A detector of line importance: (line, context) -> struct(category, priority, confidence).  `signal` is the default.
+Detector = Callable[[Column, str], Column]
+
+
+def tiers(*detectors: Detector) -> Detector:
+    """One detector of several, by `tiered`."""
+    return lambda line, context: tiered(*(d(line, context) for d in detectors))
+
+
 def tiered(*signals: Column) -> Column:
     """The first signal that is confident enough, else the most confident, else none."""
     enough = F.coalesce(*(F.when(s["confidence"] >= F.lit(0.7).cast("float"), s) for s in signals))

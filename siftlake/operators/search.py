@@ -6,60 +6,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..functions.scalars import adaptive_k, adaptive_k_sql, importance, importance_sql, key_md5
+from ..functions.scalars import Detector, adaptive_k, adaptive_k_sql, importance_sql, key_md5, signal
 from ..functions.text import ascii_lower, fields, split_plain, trim
 
 _LINE = r"(?s)\A(.*?[^:\-])[:\-](\d+)[:\-](.*)\z"
 
 
-def search_matches(blocks: DataFrame, query: str = "", keywords: tuple[str, ...] = ()) -> DataFrame:
+def search_matches(blocks: DataFrame, query: str = "", config: SearchConfig = SearchConfig(), detector: Detector = signal) -> DataFrame:
     """(block_id, seq, file, line_no decimal(20,0), content, score): path, number and text of every result
-    line; numbers past 64 bits don't parse."""
+    line; numbers past 64 bits don't parse.  Query words, the detector's category (if errors are boosted) and
+    the config's keywords raise the score."""
     x = blocks.select("block_id", F.posexplode(split_plain(F.col("content"))).alias("seq", "raw")).withColumn("raw", trim(F.col("raw")))
     x = x.where(~F.col("raw").rlike(r"\A[:\-]\d+[:\-]")).withColumn("file", F.regexp_extract("raw", _LINE, 1)).where("file <> ''")
     x = x.withColumn("line_no", F.expr("try_cast(regexp_extract(raw, r'(?s)\\A(.*?[^:\\-])[:\\-](\\d+)[:\\-](.*)\\z', 2) as decimal(20,0))")).where(
         "line_no is not null and line_no <= 18446744073709551615").withColumn("content", F.regexp_extract("raw", _LINE, 3))
     lower = ascii_lower(F.col("content"))
     words = F.filter(fields(ascii_lower(F.lit(query))), lambda w: F.octet_length(w) > 2)
-    kind = importance(F.col("content"), "search")
+    x = x.withColumn("kind", detector(F.col("content"), "search")["category"]) if config.boost_errors else x
+    kind = F.col("kind") if config.boost_errors else F.lit(None).cast("string")
     score = F.size(F.filter(words, lambda w: F.contains(lower, w))) * F.lit(0.3)
     score = score + F.when(kind == "error", 0.5).when(kind == "warning", 0.4).when(kind == "importance", 0.3).otherwise(0.0)
-    for k in keywords:
-        score = score + F.when(lower.contains(k.lower()), 0.4).otherwise(0.0)
+    for k in config.keywords:
+        score = score + F.when(F.contains(lower, ascii_lower(F.lit(k))), 0.4).otherwise(0.0)
     return x.select("block_id", "seq", "file", "line_no", "content", F.least(F.lit(1.0), F.round(score, 2)).alias("score"))
 
 
-def search_selected(blocks: DataFrame, query: str = "", config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Kept matches with their order in the output, and each file's number of matches."""
+def search_selected(blocks: DataFrame, query: str = "", config: SearchConfig = SearchConfig(), detector: Detector = signal) -> DataFrame:
+    """Kept matches with their order in the output, each file's number of matches, and each block's matches
+    and files."""
     c = config
-    m = search_matches(blocks, query)
+    m = search_matches(blocks, query, c, detector)
     file = Window.partitionBy("block_id", "file")
     m = m.withColumn("of_file", F.count("*").over(file)).withColumn("nth", F.row_number().over(file.orderBy("seq")))
     m = m.withColumn("pref", F.when(F.col("nth") == 1, 0).when(F.col("nth") == F.col("of_file"), 1).otherwise(2))
     ranked = Window.partitionBy("block_id", "file").orderBy("pref", F.col("score").desc(), "line_no", "seq")
     files = m.groupBy("block_id", "file").agg(F.round(F.sum("score"), 6).alias("total"), F.count_distinct("line_no", "content").alias("unique"), F.count("*").alias("n"))
-    files = files.withColumn("rank", F.row_number().over(Window.partitionBy("block_id").orderBy(F.col("total").desc(), "file"))).where(F.col("rank") <= c.files)
     whole = Window.partitionBy("block_id")
+    files = files.withColumn("n_matches", F.sum("n").over(whole)).withColumn("n_files", F.count("*").over(whole))
+    files = files.withColumn("rank", F.row_number().over(whole.orderBy(F.col("total").desc(), "file"))).where(F.col("rank") <= c.files)
     files = files.withColumn("budget", adaptive_k(F.sum("n").over(whole), F.sum("unique").over(whole), c.min_keep, c.total))
     cap = F.least(F.lit(c.per_file), F.col("unique"))
     before = F.coalesce(F.sum(cap).over(whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.withColumn("take", F.greatest(F.lit(0), F.least(cap, F.col("budget") - before))).where("take > 0").select("block_id", "file", "take")
+    files = files.withColumn("take", F.greatest(F.lit(0), F.least(cap, F.col("budget") - before))).where("take > 0").select("block_id", "file", "take", "n_matches", "n_files")
     same = Window.partitionBy("block_id", "file", "line_no", "content").orderBy("pref", "seq")
     best = m.withColumn("copy", F.row_number().over(same)).where("copy = 1").withColumn("place", F.row_number().over(ranked))
-    return best.join(files, ["block_id", "file"]).where("place <= take").select("block_id", "file", "line_no", "content", "score", "place", "of_file", "seq")
+    return best.join(files, ["block_id", "file"]).where("place <= take").select("block_id", "file", "line_no", "content", "score", "place", "of_file", "seq", "n_matches", "n_files")
 
 
-def search_compress(blocks: DataFrame, query: str = "", config: SearchConfig = SearchConfig()) -> DataFrame:
-    """(block_id, compressed, n_matches, kept, files, cache_key); a block without matches stays as it is."""
-    kept = search_selected(blocks, query, config)
+def search_compress(blocks: DataFrame, query: str = "", config: SearchConfig = SearchConfig(), detector: Detector = signal) -> DataFrame:
+    """(block_id, compressed, n_matches, kept, files, cache_key); a block without matches stays as it is.
+    Blocks are dealt once by block_id; all windows, joins and aggregates go by that or finer."""
+    blocks = blocks.select("block_id", "content").repartition("block_id")
+    kept = search_selected(blocks, query, config, detector)
     line = F.concat_ws(":", "file", F.col("line_no").cast("string"), "content")
     per = kept.groupBy("block_id", "file").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "place", line.alias("x")))), lambda p: p["x"]), "\n").alias("text"),
-        F.count("*").alias("k"), F.max("of_file").alias("n"))
+        F.count("*").alias("k"), F.max("of_file").alias("n"), F.max("n_matches").alias("n_matches"), F.max("n_files").alias("n_files"))
     more = F.when(F.col("n") > F.col("k"), F.concat(F.lit("[... and "), (F.col("n") - F.col("k")).cast("string"), F.lit(" more matches in "), F.col("file"), F.lit("]")))
-    body = per.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", F.concat_ws("\n", "text", more).alias("x")))), lambda p: p["x"]), "\n").alias("body"), F.sum("k").alias("kept"))
-    counts = search_matches(blocks, query).groupBy("block_id").agg(F.count("*").alias("n_matches"), F.count_distinct("file").alias("files"))
-    x = blocks.select("block_id", "content").join(counts, "block_id", "left").join(body, "block_id", "left")
+    body = per.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", F.concat_ws("\n", "text", more).alias("x")))), lambda p: p["x"]), "\n").alias("body"),
+                                       F.sum("k").alias("kept"), F.max("n_matches").alias("n_matches"), F.max("n_files").alias("files"))
+    x = blocks.join(body, "block_id", "left")
     none = F.col("n_matches").isNull()
     fires = (F.col("n_matches") >= config.store_min_matches) & (F.octet_length("body") / F.greatest(F.lit(1), F.octet_length("content")) < config.store_ratio)
     key = F.when(fires, key_md5(F.col("content")))
@@ -76,8 +82,9 @@ def search_bloat(content: Column) -> Column:
     return F.when(n >= 10, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n / F.greatest(u, F.lit(1)) - 1) / 10))).otherwise(0.0).cast("float")
 
 
-def matches_sql(words: list[str]) -> str:
-    hits = " + ".join(f"CASE WHEN contains(lower_, '{w}') THEN 0.3::DOUBLE ELSE 0 END" for w in words) or "0"
+def matches_sql(words: list[str], keywords: tuple[str, ...] = ()) -> str:
+    worth = [*((w, 0.3) for w in words), *((w.lower(), 0.4) for w in keywords)]
+    hits = " + ".join(f"CASE WHEN contains(lower_, '{w}') THEN {v}::DOUBLE ELSE 0 END" for w, v in worth) or "0"
     return rf"""raw AS (SELECT block_id, unnest(p) AS r0, generate_subscripts(p, 1) - 1 AS seq FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM search_blocks)),
 raw1 AS (SELECT block_id, seq, trim(r0) AS r FROM raw),
 par AS (SELECT block_id, seq, regexp_extract(r, '(?s)^(.*?[^:\-])[:\-](\d+)[:\-](.*)$', 1) AS file, regexp_extract(r, '(?s)^(.*?[^:\-])[:\-](\d+)[:\-](.*)$', 2) AS no, regexp_extract(r, '(?s)^(.*?[^:\-])[:\-](\d+)[:\-](.*)$', 3) AS content FROM raw1 WHERE NOT regexp_matches(r, '^[:\-]\d+[:\-]')),

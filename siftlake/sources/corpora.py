@@ -37,12 +37,12 @@ LOG_SQL = f"""log_blocks AS (SELECT event_id // 100 AS block_id, string_agg({_LO
 
 def search_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "x"))
-    line = F.expr("concat('docs/', source, '/d', doc_id % 5, '.txt:', i + 1, ':', CASE doc_id % 7 WHEN 0 THEN 'error: ' WHEN 1 THEN 'warning ' WHEN 2 THEN 'TODO ' ELSE '' END, substring(x, 1, 80))")
+    line = F.expr("concat('docs/', source, '/d', doc_id % 5, '.txt:', i + 1, ':', CASE doc_id % 7 WHEN 0 THEN 'error: ' WHEN 1 THEN 'warning ' WHEN 2 THEN 'TODO ' ELSE '' END, x)")
     return joined(d.select(F.expr("doc_id div 20").alias("block_id"), "doc_id", "i", line.alias("line")), "doc_id", "i")
 
 
 SEARCH_SQL = """search_lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-search_blocks AS (SELECT doc_id // 20 AS block_id, string_agg(concat('docs/', source, '/d', doc_id % 5, '.txt:', i, ':', CASE doc_id % 7 WHEN 0 THEN 'error: ' WHEN 1 THEN 'warning ' WHEN 2 THEN 'TODO ' ELSE '' END, x[1:80]), chr(10) ORDER BY doc_id, i) AS content FROM search_lines GROUP BY 1)"""
+search_blocks AS (SELECT doc_id // 20 AS block_id, string_agg(concat('docs/', source, '/d', doc_id % 5, '.txt:', i, ':', CASE doc_id % 7 WHEN 0 THEN 'error: ' WHEN 1 THEN 'warning ' WHEN 2 THEN 'TODO ' ELSE '' END, x), chr(10) ORDER BY doc_id, i) AS content FROM search_lines GROUP BY 1)"""
 
 
 def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
