@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import SearchConfig
 from .functions import detect, scalars
 from .functions.text import split_lines, split_plain
 from .operators import diff, log, reformat, relevance, search, tags
@@ -181,13 +182,17 @@ def log_compress(spark, sf_dir):
     return log.log_compress(corpora.log_blocks(spark, sf_dir))
 
 
-@_query(f"""WITH {_LOG_LINES}, s AS (SELECT block_id, line, coalesce({scalars.importance_sql('line', 'log')}, '') AS c FROM lines WHERE line_no < 100), n AS (SELECT block_id, count(*) AS n FROM lines GROUP BY 1)
-SELECT block_id, round(CASE WHEN max(n.n) >= 50 THEN (0.5::DOUBLE * (1 - count(DISTINCT line)::DOUBLE / count(*)) + 0.5::DOUBLE * (count(*) FILTER (c = '')::DOUBLE / count(*)))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM s JOIN n USING (block_id) GROUP BY block_id""")
+def _log_bloat_sql(blocks: str) -> str:
+    return f"""WITH {log.LINES_SQL.format(blocks=blocks)}, s AS (SELECT block_id, line, coalesce({scalars.importance_sql('line', 'log')}, '') AS c FROM lines WHERE line_no < 100), n AS (SELECT block_id, count(*) AS n FROM lines GROUP BY 1)
+SELECT block_id, round(CASE WHEN max(n.n) >= 50 THEN (0.5::DOUBLE * (1 - count(DISTINCT line)::DOUBLE / count(*)) + 0.5::DOUBLE * (count(*) FILTER (c = '')::DOUBLE / count(*)))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM s JOIN n USING (block_id) GROUP BY block_id"""
+
+
+@_query(f"WITH {corpora.LOG_SQL} SELECT * FROM ({_log_bloat_sql('log_blocks')})")
 def log_bloat(spark, sf_dir):
     return corpora.log_blocks(spark, sf_dir).select("block_id", F.round(log.log_bloat(F.col("content")).cast("double"), 5).alias("bloat"))
 
 
-@_query()
+@_query(f"WITH {corpora.LOG_SQL} SELECT * FROM ({reformat.template_sql('log_blocks')})")
 def log_template(spark, sf_dir):
     return corpora.log_blocks(spark, sf_dir).select("block_id", reformat.log_template(F.col("content")).alias("output"))
 
@@ -202,6 +207,15 @@ def search_parse(spark, sf_dir):
     return x.select("block_id", F.col("seq").cast("long"), "file", F.col("line_no").cast("long"), "content", "score")
 
 
+_KEYWORDS = ("Eren", "oner")
+
+
+@_query(f"WITH {corpora.SEARCH_SQL}, {search.matches_sql([w for w in _QUERY.split() if len(w) > 2], _KEYWORDS)} SELECT block_id, seq, score FROM m", "search_score")
+def search_score(spark, sf_dir):
+    x = search.search_matches(corpora.search_blocks(spark, sf_dir), _QUERY, SearchConfig(keywords=_KEYWORDS))
+    return x.select("block_id", F.col("seq").cast("long"), "score")
+
+
 @_query(f"WITH {_SEARCH}, {search.SELECT_SQL} SELECT block_id, file, line_no::BIGINT AS line_no, content, place FROM kept")
 def search_select(spark, sf_dir):
     x = search.search_selected(corpora.search_blocks(spark, sf_dir), _QUERY)
@@ -322,39 +336,38 @@ def diff_parse_files(spark, sf_dir):
     return diff.diff_files(corpora.diff_blocks(spark, sf_dir))
 
 
-@_query(f"WITH {_DIFF_LINES}, {diff.PARSE_SQL} SELECT block_id, round((sum(body_bytes) FILTER (reason IS NOT NULL)::DOUBLE / sum(body_bytes))::FLOAT::DOUBLE, 5) AS bloat FROM files GROUP BY block_id")
+def _noise_bloat_sql(blocks: str) -> str:
+    return f"""WITH {log.LINES_SQL.format(blocks=blocks)}, {diff.PARSE_SQL}, n AS (SELECT block_id, count(*) AS n FROM lines GROUP BY 1)
+SELECT block_id, round(CASE WHEN max(n) >= 30 AND sum(body_bytes) > 0 THEN (coalesce(sum(body_bytes) FILTER (reason IS NOT NULL), 0)::DOUBLE / sum(body_bytes))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM files JOIN n USING (block_id) GROUP BY block_id"""
+
+
+@_query(f"WITH {corpora.DIFF_SQL} SELECT * FROM ({_noise_bloat_sql('diff_blocks')})")
 def diff_noise_bloat(spark, sf_dir):
     return diff.diff_noise_bloat(corpora.diff_blocks(spark, sf_dir)).select("block_id", F.round(F.col("bloat").cast("double"), 5).alias("bloat"))
 
 
-@_query(f"""WITH {_DIFF_LINES}, {diff.PARSE_SQL}, j AS (SELECT f1.*, reason, body_lines, in_body AND reason IS NOT NULL AS gone, row_number() OVER (PARTITION BY f1.block_id, f1.file_no, in_body ORDER BY line_no) AS nth FROM f1 LEFT JOIN files USING (block_id, file_no)),
-t AS (SELECT block_id, string_agg(CASE WHEN gone THEN concat('[diff_noise: ', reason, ' hunks dropped (', body_lines, ' lines)]') ELSE line END, chr(10) ORDER BY line_no) || chr(10) AS text FROM j WHERE NOT gone OR nth = 1 GROUP BY block_id)
-SELECT block_id, text || chr(10) || '[diff_noise CCR: hash=' || md5(content)[1:24] || ']' AS output, md5(content)[1:24] AS cache_key FROM t JOIN diff_blocks USING (block_id)""")
+def _noise_apply_sql(blocks: str) -> str:
+    return f"""WITH {log.LINES_SQL.format(blocks=blocks)}, {diff.PARSE_SQL}, j AS (SELECT f1.*, reason, body_lines, in_body AND reason IS NOT NULL AS gone, row_number() OVER (PARTITION BY f1.block_id, f1.file_no, in_body ORDER BY line_no) AS nth FROM f1 LEFT JOIN files USING (block_id, file_no)),
+t AS (SELECT block_id, string_agg(CASE WHEN gone THEN concat('[diff_noise: ', reason, ' hunks dropped (', body_lines, ' lines)]') ELSE line END, chr(10) ORDER BY line_no) || chr(10) AS text, max(gone::INT) = 1 AND max(file_no) > 0 AS ok FROM j WHERE NOT coalesce(gone, false) OR nth = 1 GROUP BY block_id),
+y AS (SELECT block_id, text || chr(10) || '[diff_noise CCR: hash=' || md5(content)[1:24] || ']' AS output, md5(content)[1:24] AS cache_key, coalesce(ok, false) AND strlen(text) < strlen(content) AS ok FROM {blocks} LEFT JOIN t USING (block_id))
+SELECT block_id, CASE WHEN ok THEN output END AS output, CASE WHEN ok THEN cache_key END AS cache_key FROM y"""
+
+
+@_query(f"WITH {corpora.DIFF_SQL} SELECT * FROM ({_noise_apply_sql('diff_blocks')})")
 def diff_noise_apply(spark, sf_dir):
     return diff.diff_noise_apply(corpora.diff_blocks(spark, sf_dir))
 
 
-@_query(f"""WITH {_DIFF_LINES}, k AS (SELECT block_id, line_no, line, CASE WHEN starts_with(line, '@@') THEN 1 WHEN starts_with(line, 'diff --git') THEN 0 END AS mark FROM lines),
+def _diff_bloat_sql(blocks: str) -> str:
+    return f"""WITH {log.LINES_SQL.format(blocks=blocks)}, k AS (SELECT block_id, line_no, line, CASE WHEN starts_with(line, '@@') THEN 1 WHEN starts_with(line, 'diff --git') THEN 0 END AS mark FROM lines),
 m AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY line_no), 0) = 1 AND mark IS NULL AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---') AS inside FROM k),
 a AS (SELECT block_id, count(*) AS n, count(*) FILTER (inside AND starts_with(line, ' ')) AS c, count(*) FILTER (inside AND regexp_matches(line, '^[+\\-]')) AS d FROM m GROUP BY block_id)
-SELECT block_id, round(CASE WHEN n >= 50 THEN greatest(0, least(1, (c::DOUBLE / (c + d) - 0.6::DOUBLE) / 0.4::DOUBLE))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM a""")
-def diff_bloat(spark, sf_dir):
-    return diff.diff_bloat(corpora.diff_blocks(spark, sf_dir)).select("block_id", F.round(F.col("bloat").cast("double"), 5).alias("bloat"))
+SELECT block_id, round(CASE WHEN n >= 50 AND c + d > 0 THEN greatest(0, least(1, (c::DOUBLE / (c + d) - 0.6::DOUBLE) / 0.4::DOUBLE))::FLOAT ELSE 0 END::DOUBLE, 5) AS bloat FROM a"""
 
 
-def _all_blocks(spark, sf_dir) -> DataFrame:
-    return _raw(spark, sf_dir).select(F.concat_ws("/", "corpus", "id").alias("block_id"), "content")
-
-
-@_query()
-def pipeline_compress(spark, sf_dir):
-    return condense.condense(_all_blocks(spark, sf_dir))
-
-
-@_query()
-def pipeline_stats(spark, sf_dir):
-    x = condense.condense(_all_blocks(spark, sf_dir))
-    return x.groupBy("content_type").agg(F.count("*").alias("n"), F.sum("bytes_saved").alias("bytes_saved"), F.sum(F.size("cache_keys")).alias("replaced"))
+@_query(f"WITH {corpora.DIFF_SQL} SELECT * FROM ({_diff_bloat_sql('diff_blocks')})")
+def diff_bloat(spark, sf_dir):
+    return diff.diff_bloat(corpora.diff_blocks(spark, sf_dir)).select("block_id", F.round(F.col("bloat").cast("double"), 5).alias("bloat"))
 
 
 def _tagged(spark, sf_dir) -> DataFrame:
@@ -378,7 +391,8 @@ def tag_restore_roundtrip(spark, sf_dir):
     return p.select("block_id", tags.restore_tags(F.col("p.text"), F.col("p.blocks")).alias("content"))
 
 
-_PLAIN_DIFF = f"""{corpora.DIFF_SQL}, pl AS (SELECT block_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM diff_blocks)),
+def _plain_diff_sql(blocks: str) -> str:
+    return f"""pl AS (SELECT block_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM {blocks})),
 h0 AS (SELECT *, sum(regexp_matches(line, '^diff --git a/.+ b/.+$')::INT) OVER (PARTITION BY block_id ORDER BY line_no) AS file_no FROM pl),
 h1 AS (SELECT *, CASE WHEN regexp_matches(line, '^diff --git a/.+ b/.+$') THEN 'header' WHEN regexp_matches(line, '^--- (a/.+|/dev/null)$') THEN 'old' WHEN regexp_matches(line, '^\\+\\+\\+ (b/.+|/dev/null)$') THEN 'new' WHEN regexp_matches(line, '^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@') THEN 'hunk' ELSE 'body' END AS kind FROM h0),
 h2 AS (SELECT *, sum((kind = 'hunk')::INT) OVER (PARTITION BY block_id, file_no ORDER BY line_no) AS hunk_no FROM h1),
@@ -387,22 +401,94 @@ hk AS (SELECT block_id, file_no, hunk_no, max(line) FILTER (kind = 'hunk') AS he
 hs AS (SELECT *, regexp_extract(header, '\\+(\\d+)', 1)::BIGINT AS start, round(least(0.3::DOUBLE, (a + d) * 0.03::DOUBLE) + CASE WHEN urgent THEN 0.3::DOUBLE ELSE 0 END, 2) AS score FROM hk)"""
 
 
+_PLAIN_DIFF = f"{corpora.DIFF_SQL}, {_plain_diff_sql('diff_blocks')}"
+
+
 @_query(f"WITH {_PLAIN_DIFF} SELECT block_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, header, start, a AS additions, d AS deletions, score FROM hs")
 def diff_hunk_score(spark, sf_dir):
     return diff.diff_hunks(corpora.diff_blocks(spark, sf_dir))
 
 
-@_query(f"""WITH {_PLAIN_DIFF}, n1 AS (SELECT *, count(*) OVER (PARTITION BY block_id, file_no) AS n FROM hs),
+_HUNKS_CHOSEN = f"""n1 AS (SELECT *, count(*) OVER (PARTITION BY block_id, file_no) AS n FROM hs),
 n2 AS (SELECT *, hunk_no = 1 OR hunk_no = n AS edge, row_number() OVER (PARTITION BY block_id, file_no, hunk_no = 1 OR hunk_no = n ORDER BY score DESC, hunk_no) AS rank FROM n1),
 n3 AS (SELECT *, n <= 10 OR edge OR rank <= 8 AS kept, CASE WHEN n <= 10 THEN 0 ELSE start END AS o1, CASE WHEN n <= 10 THEN hunk_no WHEN hunk_no = 1 THEN 0 WHEN hunk_no = n THEN 10 ELSE rank END AS o2 FROM n2),
 b0 AS (SELECT *, regexp_matches(line, '^[+\\-]') AS change FROM h2 WHERE kind = 'body' AND hunk_no > 0),
-b1 AS (SELECT *, max(change::INT) OVER w = 1 AS near, row_number() OVER (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no) AS pos FROM b0 WINDOW w AS (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+b1 AS (SELECT *, max(change::INT) OVER w = 1 AS near, row_number() OVER (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no) AS pos FROM b0 WINDOW w AS (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+
+
+def _diff_compress_sql(blocks: str) -> str:
+    return f"""WITH {_plain_diff_sql(blocks)}, {_HUNKS_CHOSEN},
 rows_ AS (SELECT block_id, file_no AS o, CASE kind WHEN 'header' THEN 1 WHEN 'old' THEN 5 ELSE 6 END AS k, 0 AS o1, 0 AS o2, 0 AS p, line FROM h2 WHERE kind IN ('header', 'old', 'new')
  UNION ALL SELECT block_id, file_no, 7, o1, o2, 0, header FROM n3 WHERE kept UNION ALL SELECT b1.block_id, b1.file_no, 7, o1, o2, pos, line FROM b1 JOIN n3 USING (block_id, file_no, hunk_no) WHERE kept AND near),
 tx AS (SELECT block_id, string_agg(line, chr(10) ORDER BY o, k, o1, o2, p) AS text FROM rows_ GROUP BY block_id),
-su AS (SELECT block_id, count(DISTINCT file_no) AS files, sum(a) AS additions, sum(d) AS deletions, count(*) FILTER (NOT kept) AS hunks_removed FROM n3 GROUP BY block_id),
-ou AS (SELECT block_id, content, len(string_split(content, chr(10))) AS n_lines, su.* EXCLUDE block_id, concat(text, chr(10), '[', files, ' files changed, +', additions, ' -', deletions, ' lines', CASE WHEN hunks_removed > 0 THEN concat(', ', hunks_removed, ' hunks omitted') ELSE '' END, ']') AS text FROM diff_blocks JOIN tx USING (block_id) JOIN su USING (block_id)),
+su AS (SELECT block_id, count(*) FILTER (kind = 'header') AS files, coalesce(max(additions), 0) AS additions, coalesce(max(deletions), 0) AS deletions, coalesce(max(hunks_removed), 0) AS hunks_removed FROM h2 LEFT JOIN (SELECT block_id, sum(a) AS additions, sum(d) AS deletions, count(*) FILTER (NOT kept) AS hunks_removed FROM n3 GROUP BY block_id) USING (block_id) GROUP BY block_id),
+ou AS (SELECT block_id, content, len(string_split(content, chr(10))) AS n_lines, su.* EXCLUDE block_id, concat(text, chr(10), '[', files, ' files changed, +', additions, ' -', deletions, ' lines', CASE WHEN hunks_removed > 0 THEN concat(', ', hunks_removed, ' hunks omitted') ELSE '' END, ']') AS text FROM {blocks} JOIN tx USING (block_id) JOIN su USING (block_id)),
 mk AS (SELECT *, len(string_split(text, chr(10))) AS m FROM ou)
-SELECT block_id, text || CASE WHEN m < n_lines * 0.8 THEN concat(chr(10), '[', n_lines, ' lines compressed to ', m, '. Retrieve full diff: hash=', md5(content)[1:24], ']') ELSE '' END AS compressed, n_lines, files, additions::BIGINT AS additions, deletions::BIGINT AS deletions, hunks_removed, CASE WHEN m < n_lines * 0.8 THEN md5(content)[1:24] END AS cache_key FROM mk""")
+SELECT block_id, text || CASE WHEN m < n_lines * 0.8 THEN concat(chr(10), '[', n_lines, ' lines compressed to ', m, '. Retrieve full diff: hash=', md5(content)[1:24], ']') ELSE '' END AS compressed, n_lines, files, additions::BIGINT AS additions, deletions::BIGINT AS deletions, hunks_removed, CASE WHEN m < n_lines * 0.8 THEN md5(content)[1:24] END AS cache_key FROM mk"""
+
+
+@_query(f"WITH {_PLAIN_DIFF} SELECT block_id, line_no, kind, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, md5(line) AS digest FROM h2 WHERE hunk_no > 0 AND kind IN ('hunk', 'body')")
+def diff_parse_hunks(spark, sf_dir):
+    x = diff.hunk_lines(corpora.diff_blocks(spark, sf_dir)).where("hunk_no > 0 and kind in ('hunk', 'body')")
+    return x.select("block_id", F.col("line_no").cast("long"), "kind", "file_no", "hunk_no", F.md5("line").alias("digest"))
+
+
+@_query(f"WITH {_PLAIN_DIFF}, {_HUNKS_CHOSEN} SELECT block_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, score, kept FROM n3")
+def diff_select(spark, sf_dir):
+    return diff.diff_selected(corpora.diff_blocks(spark, sf_dir))
+
+
+@_query(f"WITH {_PLAIN_DIFF}, {_HUNKS_CHOSEN} SELECT block_id, line_no, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, line FROM b1 WHERE near")
+def diff_trim_context(spark, sf_dir):
+    return diff.diff_trimmed(corpora.diff_blocks(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@_query(f"WITH {corpora.DIFF_SQL} SELECT * FROM ({_diff_compress_sql('diff_blocks')})")
 def diff_compress(spark, sf_dir):
     return diff.diff_compress(corpora.diff_blocks(spark, sf_dir))
+
+
+def _all_blocks(spark, sf_dir) -> DataFrame:
+    return _raw(spark, sf_dir).select(F.concat_ws("/", "corpus", "id").alias("block_id"), "content")
+
+
+def _gated(blocks: str, bloat: str, ratio: str) -> str:
+    """(block_id, content) of the blocks whose replacement may run."""
+    return f"(SELECT block_id, content FROM {blocks} JOIN ({bloat}) USING (block_id) WHERE bloat >= 0.5 OR ({ratio} > 0.85 AND bloat > 0))"
+
+
+_PIPELINE = f"""{_RAW}, typed AS MATERIALIZED (SELECT corpus || '/' || id AS block_id, content, {detect.content_type_sql('content')} AS content_type FROM raw_blocks),
+build0 AS MATERIALIZED (SELECT block_id, content FROM typed WHERE content_type = 'build'),
+build1 AS MATERIALIZED (SELECT block_id, b.content AS before, coalesce(output, b.content) AS content, output IS NOT NULL AS templated FROM build0 b LEFT JOIN ({reformat.template_sql('build0')}) USING (block_id)),
+build2 AS MATERIALIZED {_gated('build1', _log_bloat_sql('build1'), 'strlen(content) / strlen(before)::DOUBLE')},
+build3 AS MATERIALIZED (WITH {log.LINES_SQL.format(blocks='build2')}, {log.CLASS_SQL}, {log.SELECT_SQL}, {log.COMPRESS_SQL.format(blocks='build2')}),
+build AS (SELECT block_id, before, CASE WHEN ok THEN compressed ELSE content END AS output, concat_ws(',', CASE WHEN templated THEN 'log_template' END, CASE WHEN ok THEN 'log_offload' END) AS steps, CASE WHEN ok THEN cache_key ELSE '' END AS cache_keys
+ FROM (SELECT *, coalesce(cache_key IS NOT NULL AND strlen(compressed) < strlen(content), false) AS ok FROM build1 LEFT JOIN build3 USING (block_id))),
+diff0 AS MATERIALIZED (SELECT block_id, content FROM typed WHERE content_type = 'diff'),
+diff1 AS MATERIALIZED {_gated('diff0', _noise_bloat_sql('diff0'), '1')},
+diff2 AS MATERIALIZED (SELECT block_id, d.content AS before, CASE WHEN ok THEN output ELSE d.content END AS content, CASE WHEN ok THEN cache_key END AS key1
+ FROM (SELECT d.block_id, d.content, output, cache_key, coalesce(strlen(output) < strlen(d.content), false) AS ok FROM diff0 d LEFT JOIN ({_noise_apply_sql('diff1')}) USING (block_id)) d),
+diff3 AS MATERIALIZED {_gated('diff2', _diff_bloat_sql('diff2'), '1')},
+diff4 AS MATERIALIZED ({_diff_compress_sql('diff3')}),
+diffs AS (SELECT block_id, before, CASE WHEN ok THEN compressed ELSE content END AS output, concat_ws(',', CASE WHEN key1 IS NOT NULL THEN 'diff_noise' END, CASE WHEN ok THEN 'diff_offload' END) AS steps, concat_ws(',', key1, CASE WHEN ok THEN cache_key END) AS cache_keys
+ FROM (SELECT *, coalesce(cache_key IS NOT NULL AND strlen(compressed) < strlen(content), false) AS ok FROM diff2 LEFT JOIN diff4 USING (block_id))),
+jsons AS (SELECT block_id, content AS before, CASE WHEN strlen(m) < strlen(content) THEN m ELSE content END AS output, CASE WHEN strlen(m) < strlen(content) THEN 'json_minifier' ELSE '' END AS steps, '' AS cache_keys
+ FROM (SELECT *, json(content)::VARCHAR AS m FROM typed WHERE content_type = 'json_array')),
+others AS (SELECT block_id, content AS before, content AS output, '' AS steps, '' AS cache_keys FROM typed WHERE content_type NOT IN ('build', 'diff', 'json_array')),
+done AS (SELECT block_id, content_type, output, (strlen(before) - strlen(output))::BIGINT AS bytes_saved, steps, cache_keys FROM (SELECT * FROM build UNION ALL SELECT * FROM diffs UNION ALL SELECT * FROM jsons UNION ALL SELECT * FROM others) JOIN typed USING (block_id))"""
+
+
+def _condensed(spark, sf_dir) -> DataFrame:
+    x = condense.condense(_all_blocks(spark, sf_dir))
+    return x.withColumn("steps", F.array_join("steps", ",")).withColumn("cache_keys", F.array_join("cache_keys", ","))
+
+
+@_query(f"WITH {_PIPELINE} SELECT block_id, content_type, output, bytes_saved, steps, cache_keys FROM done")
+def pipeline_compress(spark, sf_dir):
+    return _condensed(spark, sf_dir)
+
+
+@_query(f"WITH {_PIPELINE} SELECT content_type, count(*) AS n, sum(bytes_saved)::BIGINT AS bytes_saved, sum(len(regexp_extract_all(cache_keys, '[0-9a-f]{{24}}')))::BIGINT AS replaced FROM done GROUP BY content_type")
+def pipeline_stats(spark, sf_dir):
+    x = condense.condense(_all_blocks(spark, sf_dir))
+    return x.groupBy("content_type").agg(F.count("*").alias("n"), F.sum("bytes_saved").alias("bytes_saved"), F.sum(F.size("cache_keys")).alias("replaced"))
