@@ -21,10 +21,15 @@ _ROOTS: dict[str, tuple] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The run's folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The run's folder below spark.checkpoint.dir; a temporary one only where that is unset and the driver runs
+    all tasks itself."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftlake-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="siftlake-")
         path = f"{base.rstrip('/')}/siftlake-{uuid.uuid4().hex}"
         _ROOTS[app] = (path, spark)
         atexit.register(_remove, spark, path)
@@ -69,7 +74,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """df, with the session's row batches no larger than long texts allow (in the scan and towards Python)."""
+    """df, with the session's row batches no larger than long texts allow (in the scan and towards Python).  The
+    settings stay, as df is read later; they change no result."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
         if int(conf.get(key)) > most or int(conf.get(key)) <= 0:
@@ -86,7 +92,7 @@ def text_bytes(documents: DataFrame) -> int:
     return documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def fragments(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+def fragments(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
     """Into how many ranges the hash order is cut: a power of two, twice the shuffle partitions at least, and
     so many that `size` bytes of texts come to about `each` a range."""
     return 1 << (max(8, 2 * shuffle_partitions(spark), -(-size // each)) - 1).bit_length()
@@ -434,8 +440,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         onward = labels.select(F.col("id").alias("c"), F.col("component_id").alias("c2"))
         new = cut(met.join(onward, "c", "left").select("id", "was", F.least("c", F.coalesce("c2", "c")).alias("component_id")))
         moved = new.where("component_id <> was").limit(1).count()
+        drop(labels)
         labels = new.select("id", "component_id")
         if not moved:
+            drop(both)
             return labels
     raise RuntimeError("components did not settle")
 

@@ -2,8 +2,8 @@
 
 A text's bytes are the samples of a mono WAV file, stored without loss.  Features come from the samples
 read back: a polyphase resampler (3:2 by default), overlapped Hann frames through a mel filterbank in
-log scale, and a hysteresis gate over frame energy.  Frames are grouped into fixed-shape tensors with
-their time spans.  Long files go through in blocks that overlap by what the filters need.
+log scale, and a hysteresis gate over frame energy.  Frames are grouped into fixed-shape Arrow tensors
+with their time spans.  Long files go through in blocks that overlap by what the filters need.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ class Features:
         self.kernel = (kernel * c.up / kernel.sum()).astype(np.float64)
         self.window = np.hanning(c.frame + 1)[:-1]
         self.bank = self._bank(c.rate * c.up / c.down)
+        self.schema = pa.schema([("tensor", pa.fixed_shape_tensor(pa.float32(), (c.frames, c.mels))), ("begin_ms", pa.float64()), ("end_ms", pa.float64())])
 
     def _bank(self, rate: float) -> np.ndarray:
         c = self.c
@@ -148,6 +149,16 @@ class Features:
         edge = np.diff(np.r_[0, on.astype(np.int8), 0])
         return [*zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
 
+    def stored(self, tensors: np.ndarray, spans: list[list[float]]) -> bytes:
+        """An Arrow stream of one batch: fixed-shape tensors with the begin and end of each in ms."""
+        column = pa.FixedShapeTensorArray.from_numpy_ndarray(tensors)
+        ms = np.array(spans, np.float64)
+        batch = pa.record_batch([column, pa.array(ms[:, 0]), pa.array(ms[:, 1])], schema=self.schema)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as writer:
+            writer.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
     def of(self, media: bytes) -> dict:
         c = self.c
         _, payload = from_wav(media)
@@ -160,8 +171,8 @@ class Features:
         spans = self.segments(levels)
         return {
             "payload": payload,
-            "tensors": tensor.reshape(n, c.frames * c.mels),
-            "tensor_ms": [[round(i * c.frames * step, 3), round(min((i + 1) * c.frames, len(mel)) * step, 3)] for i in range(n)],
+            "tensors": self.stored(tensor.reshape(n, c.frames, c.mels), [[round(i * c.frames * step, 3), round(min((i + 1) * c.frames, len(mel)) * step, 3)] for i in range(n)]),
+            "n_tensors": n,
             "segment_ms": [[round(a * step, 3), round(b * step, 3)] for a, b in spans],
             "summary": [round(float(v), 2) for v in mel.mean(axis=0, dtype=np.float64)],
             "n_frames": len(mel),
@@ -181,16 +192,24 @@ def encode_audio(documents: DataFrame, config: AudioConfig = AudioConfig()) -> D
     return C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
-FEATURES = ("doc_id long, n_bytes long, media binary, payload binary, tensors array<array<float>>, tensor_ms array<array<double>>, "
-            "segment_ms array<array<double>>, summary array<double>, n_frames long")
+FEATURES = ("doc_id long, n_bytes long, media binary, payload binary, tensors binary, n_tensors long, segment_ms array<array<double>>, "
+            "summary array<double>, n_frames long")
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The tensors of one row (number, frames, mels), and the begin and end of each in ms."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    column = table["tensor"].chunk(0)
+    return column.to_numpy_ndarray(), np.stack([table["begin_ms"].to_numpy(), table["end_ms"].to_numpy()], axis=1)
 
 
 def audio_features(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
-    """encode_audio's rows with the samples read back, tensors of frames * mels values (row by row) with
-    time spans, energy segments in ms, the mean log-mel spectrum and the number of frames.
+    """encode_audio's rows with the samples read back, `tensors` (an Arrow stream of fixed-shape tensors of
+    frames x mels with their time spans, see read_tensors), energy segments in ms, the mean log-mel spectrum and
+    the number of frames.
 
-    Every value depends on the row's media alone, so equal files give equal features.  Tensors leave
-    Python as Arrow fixed-size lists and arrive as arrays of equal length.
+    Every value depends on the row's media alone, so equal files give equal features; an empty table gives no
+    rows.  Spark has no type for tensors, so a row's are kept as the bytes of one Arrow batch.
     """
 
     def run(batches):
@@ -200,16 +219,12 @@ def audio_features(media: DataFrame, config: AudioConfig = AudioConfig()) -> Dat
             for at in range(0, batch.num_rows, 128):
                 files = media_.slice(at, 128)
                 found = [own.of(m.as_py()) for m in files]
-                tensors = [f["tensors"] for f in found]
-                lengths = np.cumsum([0, *(len(t) for t in tensors)])
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors).reshape(-1)), config.frames * config.mels)
-                column = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat.cast(pa.list_(pa.float32())))
                 pairs = pa.list_(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 128), sizes.slice(at, 128), files, pa.array([f["payload"] for f in found], pa.binary()), column,
-                     pa.array([f["tensor_ms"] for f in found], pairs), pa.array([f["segment_ms"] for f in found], pairs),
+                    [ids.slice(at, 128), sizes.slice(at, 128), files, pa.array([f["payload"] for f in found], pa.binary()), pa.array([f["tensors"] for f in found], pa.binary()),
+                     pa.array([f["n_tensors"] for f in found], pa.int64()), pa.array([f["segment_ms"] for f in found], pairs),
                      pa.array([f["summary"] for f in found], pa.list_(pa.float64())), pa.array([f["n_frames"] for f in found], pa.int64())],
-                    ["doc_id", "n_bytes", "media", "payload", "tensors", "tensor_ms", "segment_ms", "summary", "n_frames"])
+                    ["doc_id", "n_bytes", "media", "payload", "tensors", "n_tensors", "segment_ms", "summary", "n_frames"])
 
     return media.mapInArrow(run, FEATURES)
 
@@ -220,6 +235,6 @@ def digests(features: DataFrame) -> DataFrame:
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.expr("crc32(substring(payload, length(payload) - 15, 16))").alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.col("n_frames").cast("string"), F.size("tensors").cast("string"), F.size("segment_ms").cast("string"),
-                    F.substring(F.sha2(F.to_json(F.struct("tensor_ms", "segment_ms")), 256), 1, 16),
+        F.concat_ws(":", F.col("n_frames").cast("string"), F.col("n_tensors").cast("string"), F.size("segment_ms").cast("string"),
+                    F.substring(F.sha2(F.to_json(F.struct("segment_ms")), 256), 1, 16),
                     F.concat_ws(",", F.transform("summary", lambda v: F.format_number(v, 2)))).alias("feature"))

@@ -189,7 +189,7 @@ def _verify(pairs: DataFrame, segments: DataFrame, v: int, percent: int) -> Data
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_rows: int = 2000,
-                     batch_bytes: int = 4 << 20, verify_fragments: int = 4, named_buckets: int = 256, fragments: int = 0) -> DataFrame:
+                     batch_bytes: int = 4 << 20, verify_fragments: int = 4, named_buckets: int = 256, fragments: int = 0, bucket_split: int = 4096) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents(doc_id, text, ...), one per input row.
 
     Links: 100 * intersection >= percent * union of distinct n-word shingles (A-Z folded; words are
@@ -199,6 +199,7 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
     rows.  Other columns, whatever their names, are not read.  Memory: one batch or one fragment of the hash
     order per task.
     Classes with more than named_buckets open buckets may meet in several of them; that costs, no more.
+    Open buckets of more than bucket_split classes are compared part by part.
     """
     spark = documents.sparkSession
     named_rows = C.steady(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -239,9 +240,17 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
     opens = rest.groupBy("cid").agg(F.collect_list("g").alias("o"))  # at most the class's own prefix
     few = F.when(F.size("o") <= named_buckets, F.col("o"))
     members = C.cut(named.drop("lead").join(opens, "cid").select("cid", "n", "alone", "bits", "k", F.explode("o").alias("g"), few.alias("o")))
-    new = (members.alias("x").join(members.alias("y"), F.expr("x.g = y.g and x.cid < y.cid and x.k <> y.k") & near("x", "y")
-           & F.expr("x.o is null or y.o is null or x.g = array_min(array_intersect(x.o, y.o))")).select(*shape("x", "y")))
-    new = C.cut(new.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
+    # a large bucket is cut into parts by hash, and parts meet two by two, so that no task holds it whole
+    parts = members.groupBy("g").agg(F.ceil(F.count("*") / bucket_split).alias("of")).where("of > 1")
+    members = C.cut(members.join(parts, "g", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("cid"), "of")))
+    upper = members.withColumn("l", F.col("c")).withColumn("r", F.explode(F.sequence(F.col("c"), F.col("of") - 1)))
+    lower = members.withColumn("r", F.col("c")).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))))
+    meet = F.expr("x.g = y.g and x.l = y.l and x.r = y.r and (x.l < x.r or x.cid < y.cid) and x.k <> y.k")
+    first = F.expr("x.o is null or y.o is null or x.g = array_min(array_intersect(x.o, y.o))")
+    met = upper.alias("x").join(lower.alias("y"), meet & near("x", "y") & first).select(*shape("x", "y"))
+    new = met.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+                     F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    new = C.cut(new.distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
     found = C.cut(_verify(new, segments, verify_fragments, percent))
     if found.limit(1).count():
         comps = C.components(links.union(found))

@@ -206,7 +206,10 @@ def _range(k: int, w: int):
         row, own, doc, pos = row[use], own[use], doc[use], pos[use]
         j = np.where(own, far[row], left[row])
         to = np.where(own, near[row], width - right[row])
-        return pd.DataFrame({"doc_id": doc, "start_word": pos - j, "end_word": pos - to + span, "first_doc_id": doc_of[known[row, j]]})
+        out = pd.DataFrame({"doc_id": doc, "start_word": pos - j, "end_word": pos - to + span, "first_doc_id": doc_of[known[row, j]]})
+        del parts, words, before, after, flip, first, known, again
+        C.release()
+        return out
 
     return run
 
@@ -254,8 +257,8 @@ def repeated_passages(documents: DataFrame, k: int = 16, w: int = 30, batch_rows
     k + w - 1 words that an earlier place (by doc_id, then position) holds too; first_doc_id has the first of
     the span's windows.
 
-    Words are runs of bytes other than space and 0x09-0x0D, compared by their bytes' hashes (64 bits in the
-    first k words, 40 in each word beyond).  Null, empty and short texts, rows without an id and empty tables
+    Words are runs of bytes other than space and 0x09-0x0D, compared by their bytes' hashes (48 bits and the
+    range's number for the first k words, 40 bits for each word beyond).  Null, empty and short texts, rows without an id and empty tables
     give none.  doc_id names a text: the same row twice repeats nothing by that.  Other columns, whatever
     their names, aren't read.  Suffixes whose first k words occur more than `often` times are settled by
     window hashes instead of in one range; the rows are the same.
