@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,15 @@ _ROOTS: dict[str, str] = {}
 
 
 def _root(spark: SparkSession) -> str:
-    """The run's folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The run's folder below spark.checkpoint.dir; a temporary one only where that is unset and the driver runs
+    all tasks itself, as in tests."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftlake-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="siftlake-")
         _ROOTS[app] = f"{base.rstrip('/')}/siftlake-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _ROOTS[app])
     return _ROOTS[app]
