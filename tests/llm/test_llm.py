@@ -1,6 +1,7 @@
 """The corpus operators against the libraries, brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -172,9 +173,31 @@ def test_ngram_join_is_exact(spark, corpus):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    rows = {r["doc_id"]: r for r in ngram_join.ngram_components(table(spark, corpus), batch_rows=16, named_buckets=2).collect()}
-    assert len(rows) == len(corpus)
-    assert all(rows[i]["n_shingles"] == len(sets[i]) and rows[i]["component_id"] == find(i) for i in rows)
+    for params in ({"named_buckets": 2}, {"bucket_split": 2, "fragments": 1 << 18}):
+        rows = {r["doc_id"]: r for r in ngram_join.ngram_components(table(spark, corpus), batch_rows=16, **params).collect()}
+        assert len(rows) == len(corpus)
+        assert all(rows[i]["n_shingles"] == len(sets[i]) and rows[i]["component_id"] == find(i) for i in rows)
+
+
+def test_open_buckets_in_parts(spark):
+    """Many texts that share their rarest shingles but link in several components only."""
+    rng = random.Random(9)
+    shared = [prose(rng, 12) for _ in range(14)]
+    texts = []
+    for _ in range(70):
+        texts.append(" . ".join(rng.sample(shared, 9)))
+    texts += [t + " more" for t in texts[:30]]
+    sets = _sets(texts)
+    component = [*range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((component[i], component[j]))
+                component = [a if c == b else c for c in component]
+    assert 1 < len(set(component)) < len(texts)
+    for split in (3, 4096):
+        rows = ngram_join.ngram_components(table(spark, texts), bucket_split=split).collect()
+        assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(component))
 
 
 def test_passages_are_exact(spark, corpus):
@@ -185,15 +208,43 @@ def test_passages_are_exact(spark, corpus):
             key = tuple(w[p : p + 45])
             if first.setdefault(key, (d, p)) != (d, p):
                 marked |= {(d, q) for q in range(p, p + 45)}
-    got = set()
-    for r in sparse_suffix.repeated_passages(table(spark, corpus), batch_rows=16).collect():
-        got |= {(r["doc_id"], q) for q in range(r["start_word"], r["end_word"])}
-    assert got == marked
+    want = None
+    for params in ({}, {"often": 0}, {"often": 3, "fragments": 1 << 18}):  # all sorted, all by window hashes, some of each
+        got, rows = set(), sparse_suffix.repeated_passages(table(spark, corpus), batch_rows=16, **params).collect()
+        for r in rows:
+            got |= {(r["doc_id"], q) for q in range(r["start_word"], r["end_word"])}
+        assert got == marked
+        want = want or sorted(rows)
+        assert sorted(rows) == want
+    for r in want:
+        w = words[r["doc_id"]][r["start_word"] : r["start_word"] + 45]
+        assert first[tuple(w)][0] == r["first_doc_id"]
     kept = {r["doc_id"]: r["text"] for r in sparse_suffix.without_repeats(table(spark, corpus)).collect()}
     clean = [i for i in range(len(corpus)) if not any(d == i for d, _ in marked)]
     assert all(kept[i] == corpus[i] for i in clean)
 
 
+def test_suffixes_sort_and_extend():
+    """Classes of windows from sorted suffixes equal those of comparing all windows."""
+    rng = np.random.default_rng(3)
+    n, width = 300, 6
+    key, before, after = rng.integers(0, 4, n).astype(np.uint64), rng.integers(1, 3, (n, width)).astype(np.uint64), rng.integers(1, 3, (n, width)).astype(np.uint64)
+    left = rng.integers(0, width + 1, n)
+    right = np.array([rng.integers(width - a, width + 1) for a in left])
+    before[np.arange(width)[None, :] >= left[:, None]] = 0
+    after[np.arange(width)[None, :] >= right[:, None]] = 0
+    place = rng.permutation(n)
+    first = sparse_suffix.extended(key, before, after, left, right, place)
+    for j in range(width + 1):
+        seen = {}
+        for i in np.argsort(place):
+            if left[i] >= j and right[i] >= width - j:
+                window = (key[i], *before[i, :j], "|", *after[i, : width - j])
+                assert first[i, j] == seen.setdefault(window, i)
+            else:
+                assert first[i, j] == -1
+
+
 def test_chunks_resist_shifts(spark, corpus):
     texts = [t.encode() for t in corpus if t]
     doc, start, size, _ = cdc.chunks(texts, 24, 4096)
@@ -244,6 +295,29 @@ def test_shards(spark, corpus):
     assert all(by[i] == (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in enumerate(corpus))
 
 
+def test_propagation_cuts_few_links(spark):
+    """Links between neighbours of a group, cut by the shards, against the same without rounds; sizes stay even."""
+    rng = random.Random(6)
+    texts = [f"text {g}" for g in range(260) for _ in range(rng.choice([1, 2, 3, 5, 8]))]
+    rng.shuffle(texts)
+
+    def cut_links(**params):
+        rows = sharding.balanced_shards(table(spark, texts), **params).toPandas().set_index("doc_id")
+        counts = rows.groupby("shard").size().reindex(range(40), fill_value=0)
+        assert counts.max() - counts.min() <= 1
+        last, cut, all_ = {}, 0, 0
+        for i, t in enumerate(texts):
+            if t in last:
+                all_ += 1
+                cut += rows.loc[last[t], "shard"] != rows.loc[i, "shard"]
+            last[t] = i
+        return cut, all_
+
+    cut, all_ = cut_links()
+    alone, _ = cut_links(rounds=0, quota_buckets=1)
+    assert cut <= 0.1 * all_ and cut <= alone
+
+
 def test_groups_up_to_a_shard_stay_together(spark):
     from pyspark.sql import functions as F
 
@@ -269,20 +343,40 @@ def test_groups_up_to_a_shard_stay_together(spark):
     assert sum(n - 1 for n in tight) < 40
 
 
-def test_embeddings(spark):
+def _vector_links(vectors, cosine=0.95):
+    """Links and least reachable ids by comparing all vectors."""
+    ok = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and np.any(v)]
+    links, component = {i: 0 for i in range(len(vectors))}, [*range(len(vectors))]
+    for i in ok:
+        for j in ok:
+            if j < i and len(vectors[i]) == len(vectors[j]):
+                a, b = np.array(vectors[i], float), np.array(vectors[j], float)
+                if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= cosine:
+                    links[i], links[j] = links[i] + 1, links[j] + 1
+                    low, high = sorted((component[i], component[j]))
+                    component = [low if c == high else c for c in component]
+    return links, component
+
+
+@pytest.mark.parametrize("params", [{}, {"tile": 8}, {"tile": 4, "band": 8}])
+def test_embeddings(spark, params):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 16)).astype(np.float32)
+    x = rng.normal(size=(90, 16)).astype(np.float32)
     x[10:20] = x[:10] + 0.05 * rng.normal(size=(10, 16))
     x[20:30] = x[3]
     x[30] = 0
-    vectors = [*x.tolist(), None, [], [float("nan")] * 16, [None] * 16, [1.0, 2.0], (x[5] * 3).tolist()]
-    rows = {r["vec_id"]: r for r in embedding_dedup.embedding_links(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>"), tile=8).collect()}
-    ok = [i for i, v in enumerate(vectors) if v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)]
-    for i in ok:
-        a = np.array(vectors[i])
-        linked = [j for j in ok if j != i and a @ np.array(vectors[j]) / np.linalg.norm(a) / np.linalg.norm(vectors[j]) >= 0.95]
-        assert rows[i]["n_links"] == len(linked)
-    assert all(rows[i]["n_links"] == 0 and rows[i]["kept"] for i in range(len(vectors)) if i not in ok)
+    x[40:80] = x[5] + np.linspace(0.1, 0.5, 40)[:, None] * rng.normal(size=(40, 16))  # a crowd with links of all kinds
+    y = rng.normal(size=(6, 3)).astype(np.float32)
+    vectors = [*x.tolist(), None, [], [float("nan")] * 16, [None] * 16, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0], [1.0, 2.0, 0.0], (x[5] * 3).tolist(), *y.tolist(), (y[0] * 2).tolist(), [0.0, 0.0]]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in enumerate(vectors)] + [(None, x[3].tolist(), "x", 1)], "vec_id long, embedding array<float>, band string, cid int")
+    rows = embedding_dedup.embedding_links(df, **params).collect()
+    links, component = _vector_links(vectors)
+    assert len(rows) == len(vectors) + 1
+    for r in rows:
+        if r["vec_id"] is None:
+            assert r["n_links"] == 0 and r["component_id"] is None and r["kept"] is None
+        else:
+            assert (r["n_links"], r["component_id"], r["kept"]) == (links[r["vec_id"]], component[r["vec_id"]], component[r["vec_id"]] == r["vec_id"])
 
 
 def test_media(spark, corpus):
@@ -297,6 +391,37 @@ def test_media(spark, corpus):
     assert all(seen.setdefault(t or "", rows[i]["feature"]) == rows[i]["feature"] for i, t in enumerate(corpus))
 
 
+def test_features_by_brute_force():
+    """Resampling, log-mel frames and segments against sums written out."""
+    own = media.Features(media.AudioConfig())
+    c, h = own.c, own.kernel
+    payload = bytes(np.random.default_rng(5).integers(0, 256, 1152, dtype=np.uint8))
+    x = (np.frombuffer(payload, np.uint8) - 128.0) / 128.0
+    half = (len(h) - 1) // 2
+    y = [sum(h[m * c.down - k * c.up + half] * x[k] for k in range(len(x)) if 0 <= m * c.down - k * c.up + half < len(h)) for m in range(-(-len(x) * c.up // c.down))]
+    assert np.allclose(np.concatenate([*own.resampled(x)]), y)
+    frames = [np.array(y[a : a + c.frame]) for a in range(0, len(y) - c.frame + 1, c.hop)]
+    mel, levels = own.log_mel(x)
+    assert len(mel) == len(frames)
+    for got, level, f in zip(mel, levels, frames, strict=True):
+        spectrum = [abs(sum(v * w * np.exp(-2j * np.pi * k * t / c.frame) for t, (v, w) in enumerate(zip(f, own.window)))) ** 2 for k in range(c.frame // 2 + 1)]
+        assert np.allclose(got, np.log(np.array(spectrum) @ own.bank + 1e-6), atol=1e-4)
+        assert np.isclose(level, 10 * np.log10(np.mean(f**2) + 1e-9))
+    levels = np.array([0, 0, 30, 14, 13, 5, 0, 19, 11, 0, 0, 0, 0, 0, 0.0])
+    floor, on, spans = np.quantile(levels, 0.1), False, []
+    for i, v in enumerate([*levels, -99]):
+        if not on and v >= floor + c.open_db:
+            on, begin = True, i
+        elif on and v < floor + c.close_db:
+            on = False
+            spans.append((begin, i))
+    assert own.segments(levels) == spans and len(spans) == 2
+    found = own.of(media.to_wav(payload, c.rate))
+    tensors, ms = media.read_tensors(found["tensors"])
+    assert tensors.shape == (found["n_tensors"], c.frames, c.mels) and tensors.dtype == np.float32 and ms.shape == (found["n_tensors"], 2)
+    assert (tensors.reshape(-1, c.mels)[: len(mel)] == mel).all() and found["payload"] == payload
+
+
 def test_resampler_blocks_agree():
     x = np.random.default_rng(0).normal(size=5000)
     whole, parts = (np.concatenate([*media.Features(media.AudioConfig(block=b)).resampled(x)]) for b in (1 << 18, 256))
@@ -310,8 +435,7 @@ def test_mixing_and_quality_edges(spark, corpus):
     labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(45)], "doc_id long, quality int, toxic int")
     scores = quality.quality_scores(docs, labels).toPandas()
     assert len(scores) == len(corpus) and scores.loc[scores.n_grams == 0, "kept"].all()
-    kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == set(scores.loc[scores.kept, "doc_id"])
+    assert quality.quality_scores(docs, labels.where("quality = 5")).toPandas()["kept"].all()
 
 
 def skewed_docs(spark, n=30_000):
@@ -357,6 +481,58 @@ def test_topics_by_brute_force(spark, corpus):
     assert {r["doc_id"]: r["topic"] for r in rows} == dict(enumerate(topics))
 
 
+def _quality_docs(spark):
+    rng = random.Random(3)
+    good, bad = [prose(rng, 1) for _ in range(200)], ["".join(rng.choices("#$%&*|", k=4)) for _ in range(40)]
+
+    def words(i):
+        share = 0.0 if i % 5 else rng.choice([0.03, 0.1, 0.5, 0.9])
+        return " ".join(rng.choice(bad) if rng.random() < share else rng.choice(good) for _ in range(80))
+
+    texts = [words(i) for i in range(900)]
+    labels = [(i, int(i % 5 > 0), 0) for i in range(0, 900, 2)] + [(4, 0, 0), (8, 1, 1), (6, None, None), (None, 1, 0)]
+    return texts, labels, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_by_brute_force_and_held_out(spark):
+    texts, labels, known = _quality_docs(spark)
+    docs = table(spark, texts).withColumnRenamed("g", "weight").withColumn("q", F_lit("q"))
+    scores = quality.quality_scores(docs, known).toPandas().set_index("doc_id").sort_index()
+    taught, held = quality.labelled_sample(known, 20_000)
+    assert not set(taught) & set(held) and {**taught, **held}[4] == 0 and 8 not in taught and 8 not in held
+    grams = []
+    for t in texts:
+        h, _ = common.words([t.encode()])
+        grams.append([*(h & np.uint64((1 << 14) - 1)).tolist(), *(common.grams(h, 2) & np.uint64((1 << 14) - 1)).tolist()])
+    raw, target = np.zeros(1 << 14), np.zeros(1 << 14)
+    for i, g in enumerate(grams):
+        np.add.at(raw, g, 1)
+        if taught.get(i) == 1:
+            np.add.at(target, g, 1)
+    q = (raw + 0.5) / (raw + 0.5).sum()
+    ratio = np.log((target + 2 * len(raw) * q) / (target.sum() + 2 * len(raw))) - np.log(q)
+    weight = np.array([ratio[g].mean() for g in grams])
+    assert np.allclose(scores["weight"], weight, atol=1e-8) and (scores["n_grams"] == [len(g) for g in grams]).all()
+    noise = np.array([-math.log(-math.log(int(hashlib.md5(f"{i}|gumbel".encode()).hexdigest()[:12], 16) / 2**48 * (1 - 2e-12) + 1e-12)) for i in range(len(texts))])
+    k = int(scores["kept"].sum())
+    best = set(np.argsort(-(np.round(weight, 9) * 40 + noise))[:k].tolist())
+    assert best == set(scores.index[scores["kept"]])
+    # the noise decides near the edge, and labels that taught nothing are told apart
+    plain = set(np.argsort(-weight)[:k].tolist())
+    assert 0 < len(best - plain) < 0.1 * k
+    good = [i for i, v in held.items() if v == 1]
+    junk = [i for i in range(0, 900, 5) if sum(w[0] in "#$%&*|" for w in texts[i].split()) > 30]
+    assert scores.loc[good, "kept"].mean() > 0.95 and scores.loc[junk, "kept"].mean() < 0.05
+    again = quality.keep_good(docs, known)
+    assert again.columns == docs.columns and {r[0] for r in again.select("doc_id").collect()} == best and again.first()["q"] == "q"
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
 def test_top_k(spark):
     values = [float(v) for v in np.random.default_rng(1).normal(size=500)] + [3.0] * 20
     df = spark.createDataFrame([(v,) for v in values], "key double")
@@ -365,13 +541,72 @@ def test_top_k(spark):
     assert quality.top_k(df, 520) is None
 
 
+def _all_operators(docs, labels):
+    return {"bpe": bpe.encode_decode(docs, vocabulary("word_bpe_49k.json")), "bpe digests": bpe.digests(docs, vocabulary("word_bpe_49k.json")), "ngrams": ngram_join.ngram_components(docs),
+            "chunks": cdc.repeated_substrings(docs), "mixing": mixing.mixing_rates(docs), "quality": quality.quality_scores(docs, labels), "shards": sharding.balanced_shards(docs),
+            "counts": token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json")), "passages": sparse_suffix.repeated_passages(docs),
+            "media": media.digests(media.audio_features(media.encode_audio(docs)))}
+
+
+def _all_stages(docs, labels):
+    return {"quality": quality.keep_good(docs, labels), "near": ngram_join.keep_one(docs), "passages": sparse_suffix.without_repeats(docs), "mixing": mixing.mixed(docs)}
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
 def test_empty_tables(spark):
     docs = table(spark, ["x"]).where("doc_id < 0")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for out in (bpe.encode_decode(docs, vocabulary("word_bpe_49k.json")), ngram_join.ngram_components(docs), cdc.repeated_substrings(docs), mixing.mixing_rates(docs),
-                quality.quality_scores(docs, labels), sharding.balanced_shards(docs), sparse_suffix.repeated_passages(docs), media.audio_features(media.encode_audio(docs)),
-                embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
-        assert out.count() == 0
+    labels = spark.createDataFrame([], LABELS)
+    outs = {**_all_operators(docs, labels), **_all_stages(docs, labels), "vectors": embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>"))}
+    for name, out in outs.items():
+        assert out.count() == 0, name
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls in all columns, blanks, a very long word, ties, repeated rows, and columns named as the operators' own."""
+    clash = ["id", "spans", "gone", "q", "topic", "n", "times", "k_source", "K_Topic", "label", "copies", "frag", "batch", "blob", "shard", "size", "kept", "weight", "heads"]
+    texts = [None, "", "  ", "one", "same words here for all of us", "same words here for all of us", "w" * (1 << 21) + " tail", prose(random.Random(1), 120)]
+    texts.append(texts[-1])
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, texts[-1], None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame([r + tuple(f"c{i}" for i in range(len(clash))) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash))
+    labels = spark.createDataFrame([(3, 1, 0), (4, 1, None), (5, None, 1), (None, None, None), (4, 0, 0), (99, 1, 0)], LABELS)
+    per_row = {"bpe", "bpe digests", "ngrams", "mixing", "quality", "shards", "counts", "media"}
+    for name, out in _all_operators(docs, labels).items():
+        got = out.collect()
+        if name in per_row:
+            assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((r[0] is None, r[0]) for r in rows), name
+        else:
+            got = [r for r in got if r["doc_id"] != 6]  # the long word repeats itself
+            assert {r["doc_id"] for r in got} == {8} and {r["first_doc_id"] for r in got} == {7}, name
+    by = {r["doc_id"]: r for r in ngram_join.ngram_components(docs).collect()}
+    assert by[5]["component_id"] == 4 and by[8]["component_id"] == 7 and by[0]["n_shingles"] == 0 and by[None]["component_id"] is None and by[6]["n_shingles"] == 1
+    for name, out in _all_stages(docs, labels).items():
+        got = out.collect()
+        assert out.columns == docs.columns and all(r["id"] == "c0" and r["heads"] == f"c{len(clash) - 1}" for r in got), name
+        ids = [r["doc_id"] for r in got]
+        if name == "near":
+            assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 4, 6, 7] and ids.count(None) == 2
+        if name == "passages":
+            assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 4, 5, 6, 7] and ids.count(None) == 2
+
+
+def test_long_words_are_hashed_in_pieces(monkeypatch):
+    import re
+
+    rng = random.Random(2)
+    for block in (16, 64):
+        monkeypatch.setattr(common, "_BLOCK", block)
+        for _ in range(60):
+            texts = ["".join(rng.choices("aBé \t\nxyz" + " " * rng.randint(0, 4), k=rng.randint(0, 300))).encode() for _ in range(4)]
+            hashes, counts, starts, ends = common.words(texts, spans=True)
+            want = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+            assert [*zip(np.repeat(range(4), counts).tolist(), starts.tolist(), ends.tolist())] == want
+            for h, (i, a, b) in zip(hashes, want, strict=True):
+                data = common._LOWER[np.frombuffer(texts[i][a:b], np.uint8)]
+                assert common.span_hashes(data, np.array([0]), np.array([b - a]))[0] == h
 
 
 def test_repeated_rows(spark, corpus):
