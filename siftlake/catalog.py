@@ -123,6 +123,24 @@ def marker_parse(spark, sf_dir):
     return d.select("doc_id", scalars.marker_key(F.expr(_MARK.format("substring(md5(cast(text as binary)), 1, 24)"))).alias("key"))
 
 
+@_query("SELECT doc_id, concat('<<ccr:', md5(text)[1:24], ',', lang, ',', strlen(text), '>>') AS cell, concat('<<ccr:', md5(text)[1:24], ' ', n_chars, '_rows_offloaded>>') AS lossy FROM documents")
+def marker_kinds(spark, sf_dir):
+    d, key = corpora.table(spark, sf_dir, "documents"), scalars.key_md5(F.col("text"))
+    return d.select("doc_id", scalars.cell_marker(key, F.col("lang"), F.octet_length("text")).alias("cell"), scalars.lossy_marker(key, F.col("n_chars")).alias("lossy"))
+
+
+_CR_LINES = log.LINES_SQL.format(blocks="(SELECT doc_id AS block_id, replace(text, chr(10), chr(13) || chr(10)) || chr(13) AS content FROM documents) q")
+
+
+@_query(f"WITH {_CR_LINES} SELECT block_id AS doc_id, line_no, md5(line) AS kept, md5(CASE WHEN line[-1:] = chr(13) THEN line[:-2] ELSE line END) AS stripped FROM lines")
+def split_lines_cr(spark, sf_dir):
+    """Lines that end in CR LF, and a last one in CR alone: kept there, or stripped."""
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r"))
+    d = corpora.table(spark, sf_dir, "documents").select("doc_id", F.arrays_zip(split_lines(text).alias("kept"), split_lines(text, True).alias("stripped")).alias("z"))
+    x = d.select("doc_id", F.posexplode("z").alias("line_no", "z"))
+    return x.select("doc_id", F.col("line_no").cast("long"), F.md5("z.kept").alias("kept"), F.md5("z.stripped").alias("stripped"))
+
+
 _LOG_LINES = f"{corpora.LOG_SQL}, {log.LINES_SQL.format(blocks='log_blocks')}"
 
 
@@ -149,6 +167,24 @@ for _c in ("text", "log", "search", "diff"):
     _signals(_c)
 
 
+_TIERS = "CASE WHEN contains(line, 'worker') THEN 'worker' WHEN {kind} IS NOT NULL THEN {kind} WHEN contains(line, 'shard') THEN 'shard' END"
+
+
+@_query(f"WITH {_LOG_LINES} SELECT block_id, line_no, {_TIERS.format(kind=scalars.importance_sql('line', 'log'))} AS category FROM lines")
+def signal_tiers(spark, sf_dir):
+    """A sure detector, the default one, and an unsure one that counts where nothing else matches."""
+    def naming(word: str, confidence: float):
+        def detect_(line, context):
+            hit = F.contains(line, F.lit(word))
+            return F.struct(F.when(hit, word).alias("category"), F.when(hit, 0.5).otherwise(0.0).cast("float").alias("priority"), F.when(hit, confidence).otherwise(0.0).cast("float").alias("confidence"))
+
+        return detect_
+
+    x = corpora.log_blocks(spark, sf_dir).select("block_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "line"))
+    detector = scalars.tiers(naming("shard", 0.3), naming("worker", 0.9), scalars.signal)
+    return x.select("block_id", F.col("line_no").cast("long"), detector(F.col("line"), "log")["category"].alias("category"))
+
+
 @_query(f"WITH {_LOG_LINES} SELECT block_id, line_no, regexp_matches(lower(line), '{'|'.join(scalars.INDICATORS)}') AS hit FROM lines")
 def error_indicator(spark, sf_dir):
     x = corpora.log_blocks(spark, sf_dir).select("block_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "line"))
@@ -161,6 +197,12 @@ def adaptive_k(spark, sf_dir):
     return x.select("doc_id", scalars.adaptive_k(F.size("lines"), F.size(F.array_distinct("lines")), 5, 100).alias("k"))
 
 
+@_query(f"WITH {_DOC_LINES} SELECT block_id AS doc_id, CASE WHEN count(*) <= 8 THEN count(*) WHEN count(DISTINCT line) <= 3 THEN least(greatest(5, count(DISTINCT line)), 40) ELSE greatest(5, least(greatest(5, floor(greatest(5, floor(count(*) * (0.3::DOUBLE + 0.7::DOUBLE * (count(DISTINCT line)::DOUBLE / count(*))))) * 1.5)), 40)) END::BIGINT AS k FROM lines GROUP BY block_id")
+def adaptive_k_bias(spark, sf_dir):
+    x = corpora.table(spark, sf_dir, "documents").select("doc_id", split_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    return x.select("doc_id", scalars.adaptive_k(F.size("lines"), F.size(F.array_distinct("lines")), 5, 40, 1.5).alias("k"))
+
+
 @_query(f"WITH {_LOG_LINES}, {log.CLASS_SQL} SELECT block_id, line_no, level, is_stack, is_summary, score FROM scored")
 def log_classify(spark, sf_dir):
     return log.log_lines(corpora.log_blocks(spark, sf_dir)).select("block_id", F.col("line_no").cast("long"), "level", "is_stack", "is_summary", "score")
@@ -375,14 +417,35 @@ def _tagged(spark, sf_dir) -> DataFrame:
     return corpora.joined(c, "turn").withColumn("content", F.concat("content", F.lit("\n<meta-info/>")))
 
 
-@_query()
+_TURNS = """t AS (SELECT conv_id AS block_id, turn, '<turn-' || role || '>' AS open_, text, '</turn-' || role || '>' AS close_, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+e AS (SELECT DISTINCT block_id, n FROM t)"""
+_COUNTS = "(2 * n + 1)::INT AS seen, 0 AS html, {custom}::INT AS custom, 1 AS self_closing, 0 AS orphans, false AS collision"
+
+
+def _shown(protected: DataFrame) -> DataFrame:
+    pairs = F.transform("blocks", lambda b: F.concat(b["placeholder"], F.lit("="), b["original"]))
+    return protected.select("block_id", "p.*").withColumn("blocks", F.array_join(pairs, "\n"))
+
+
+@_query(f"""WITH {_TURNS}, x AS (SELECT block_id, string_agg(concat('{{{{KEPT_TAG_', i, '}}}}'), chr(10) ORDER BY i) AS text, string_agg(concat('{{{{KEPT_TAG_', i, '}}}}=', open_, text, close_), chr(10) ORDER BY i) AS blocks FROM t GROUP BY block_id)
+SELECT block_id, concat(text, chr(10), '{{{{KEPT_TAG_', n, '}}}}') AS text, concat(blocks, chr(10), '{{{{KEPT_TAG_', n, '}}}}=<meta-info/>') AS blocks, {_COUNTS.format(custom='n')} FROM x JOIN e USING (block_id)""")
 def tag_protect_block(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content")).alias("p")).select("block_id", "p.*")
+    return _shown(_tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content")).alias("p")))
 
 
-@_query()
+@_query(f"""WITH {_TURNS}, x AS (SELECT block_id, string_agg(concat('{{{{KEPT_TAG_', 2 * i, '}}}}', text, '{{{{KEPT_TAG_', 2 * i + 1, '}}}}'), chr(10) ORDER BY i) AS text,
+ string_agg(concat('{{{{KEPT_TAG_', 2 * i, '}}}}=', open_, chr(10), '{{{{KEPT_TAG_', 2 * i + 1, '}}}}=', close_), chr(10) ORDER BY i) AS blocks FROM t GROUP BY block_id)
+SELECT block_id, concat(text, chr(10), '{{{{KEPT_TAG_', 2 * n, '}}}}') AS text, concat(blocks, chr(10), '{{{{KEPT_TAG_', 2 * n, '}}}}=<meta-info/>') AS blocks, {_COUNTS.format(custom='0')} FROM x JOIN e USING (block_id)""")
 def tag_protect_marker(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content"), True).alias("p")).select("block_id", "p.*")
+    return _shown(_tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content"), True).alias("p")))
+
+
+@_query(f"WITH {_TURNS} SELECT block_id, concat('{{{{KEPT_TAG_0}}}}', chr(10), '{{{{KEPT_TAG_', n, '}}}}') AS missing FROM e")
+def tag_missing(spark, sf_dir):
+    p = _tagged(spark, sf_dir).select("block_id", tags.protect_tags(F.col("content")).alias("p"))
+    last = F.element_at("p.blocks", -1)["placeholder"]
+    lossy = F.replace(F.replace("p.text", F.lit("{{KEPT_TAG_0}}"), F.lit("")), last, F.lit(""))
+    return p.select("block_id", F.array_join(tags.missing_tags(lossy, F.col("p.blocks")), "\n").alias("missing"))
 
 
 @_query("SELECT conv_id AS block_id, string_agg('<turn-' || role || '>' || text || '</turn-' || role || '>', chr(10) ORDER BY turn) || chr(10) || '<meta-info/>' AS content FROM conversations GROUP BY conv_id")
@@ -393,8 +456,10 @@ def tag_restore_roundtrip(spark, sf_dir):
 
 def _plain_diff_sql(blocks: str) -> str:
     return f"""pl AS (SELECT block_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM {blocks})),
-h0 AS (SELECT *, sum(regexp_matches(line, '^diff --git a/.+ b/.+$')::INT) OVER (PARTITION BY block_id ORDER BY line_no) AS file_no FROM pl),
-h1 AS (SELECT *, CASE WHEN regexp_matches(line, '^diff --git a/.+ b/.+$') THEN 'header' WHEN regexp_matches(line, '^--- (a/.+|/dev/null)$') THEN 'old' WHEN regexp_matches(line, '^\\+\\+\\+ (b/.+|/dev/null)$') THEN 'new' WHEN regexp_matches(line, '^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@') THEN 'hunk' ELSE 'body' END AS kind FROM h0),
+h0 AS (SELECT *, regexp_matches(line, '^diff (--git a/.+ b/.+|--combined .+|--cc .+)$') AS head FROM pl),
+h00 AS (SELECT *, sum(head::INT) OVER (PARTITION BY block_id ORDER BY line_no) AS file_no FROM h0),
+h1 AS (SELECT * EXCLUDE head, CASE WHEN file_no = 0 THEN 'pre' WHEN head THEN 'header' WHEN regexp_matches(line, '^--- (a/.+|/dev/null)$') THEN 'old' WHEN regexp_matches(line, '^\\+\\+\\+ (b/.+|/dev/null)$') THEN 'new'
+ WHEN regexp_matches(line, '^(@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@|@@@ (-\\d+(,\\d+)? ){{2}}\\+\\d+(,\\d+)? @@@|@@@@ (-\\d+(,\\d+)? ){{3}}\\+\\d+(,\\d+)? @@@@)') THEN 'hunk' ELSE 'body' END AS kind FROM h00),
 h2 AS (SELECT *, sum((kind = 'hunk')::INT) OVER (PARTITION BY block_id, file_no ORDER BY line_no) AS hunk_no FROM h1),
 hk AS (SELECT block_id, file_no, hunk_no, max(line) FILTER (kind = 'hunk') AS header, count(*) FILTER (kind = 'body' AND starts_with(line, '+') AND NOT starts_with(line, '+++')) AS a, count(*) FILTER (kind = 'body' AND starts_with(line, '-') AND NOT starts_with(line, '---')) AS d,
  bool_or(kind = 'body' AND regexp_matches(lower(line), '(^|[^A-Za-z0-9_])({diff.PRIORITY})([^A-Za-z0-9_]|$)')) AS urgent FROM h2 WHERE hunk_no > 0 AND kind IN ('hunk', 'body') GROUP BY ALL),
@@ -413,20 +478,44 @@ _HUNKS_CHOSEN = f"""n1 AS (SELECT *, count(*) OVER (PARTITION BY block_id, file_
 n2 AS (SELECT *, hunk_no = 1 OR hunk_no = n AS edge, row_number() OVER (PARTITION BY block_id, file_no, hunk_no = 1 OR hunk_no = n ORDER BY score DESC, hunk_no) AS rank FROM n1),
 n3 AS (SELECT *, n <= 10 OR edge OR rank <= 8 AS kept, CASE WHEN n <= 10 THEN 0 ELSE start END AS o1, CASE WHEN n <= 10 THEN hunk_no WHEN hunk_no = 1 THEN 0 WHEN hunk_no = n THEN 10 ELSE rank END AS o2 FROM n2),
 b0 AS (SELECT *, regexp_matches(line, '^[+\\-]') AS change FROM h2 WHERE kind = 'body' AND hunk_no > 0),
-b1 AS (SELECT *, max(change::INT) OVER w = 1 AS near, row_number() OVER (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no) AS pos FROM b0 WINDOW w AS (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+b01 AS (SELECT *, bool_or(change) OVER (PARTITION BY block_id, file_no, hunk_no) AS changes FROM b0),
+b1 AS (SELECT *, CASE WHEN changes THEN max(change::INT) OVER w = 1 OR starts_with(line, '\\') ELSE row_number() OVER (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no) <= 2 END AS near, row_number() OVER (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no) AS pos FROM b01 WINDOW w AS (PARTITION BY block_id, file_no, hunk_no ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
 
 
 def _diff_compress_sql(blocks: str) -> str:
     return f"""WITH {_plain_diff_sql(blocks)}, {_HUNKS_CHOSEN},
-rows_ AS (SELECT block_id, file_no AS o, CASE kind WHEN 'header' THEN 1 WHEN 'old' THEN 5 ELSE 6 END AS k, 0 AS o1, 0 AS o2, 0 AS p, line FROM h2 WHERE kind IN ('header', 'old', 'new')
- UNION ALL SELECT block_id, file_no, 7, o1, o2, 0, header FROM n3 WHERE kept UNION ALL SELECT b1.block_id, b1.file_no, 7, o1, o2, pos, line FROM b1 JOIN n3 USING (block_id, file_no, hunk_no) WHERE kept AND near),
+fl AS (SELECT block_id, file_no, max(line) FILTER (kind = 'header') AS header, arg_max(line, line_no) FILTER (kind = 'old') AS old, arg_max(line, line_no) FILTER (kind = 'new') AS new, bool_or(starts_with(line, 'new file mode')) AS fresh,
+ bool_or(starts_with(line, 'deleted file mode')) AS dropped, bool_or(regexp_matches(line, '^Binary files .+ differ$')) AS bin FROM h2 WHERE file_no > 0 GROUP BY ALL),
+fs AS (SELECT block_id, file_no, sum(a) AS a, sum(d) AS d, count(*) FILTER (NOT kept) AS gone FROM n3 GROUP BY ALL),
+fa AS (SELECT fl.*, coalesce(a, 0) AS a, coalesce(d, 0) AS d, coalesce(gone, 0) AS gone FROM fl LEFT JOIN fs USING (block_id, file_no)),
+fo AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY block_id) > 20 THEN row_number() OVER (PARTITION BY block_id ORDER BY a + d DESC, file_no) ELSE file_no END AS o FROM fa QUALIFY o <= 20),
+rows_ AS (SELECT block_id, 0 AS o, 0 AS k, 0 AS o1, 0 AS o2, line_no AS p, line FROM h2 WHERE kind = 'pre' UNION ALL SELECT block_id, o, 1, 0, 0, 0, header FROM fo
+ UNION ALL SELECT block_id, o, 2, 0, 0, line_no, line FROM h2 JOIN fo USING (block_id, file_no) WHERE regexp_matches(line, '^(rename|similarity|copy|dissimilarity) ')
+ UNION ALL SELECT block_id, o, 3, 0, 0, 0, CASE WHEN fresh THEN 'new file mode 100644' ELSE 'deleted file mode 100644' END FROM fo WHERE fresh OR dropped UNION ALL SELECT block_id, o, 4, 0, 0, 0, 'Binary files differ' FROM fo WHERE bin
+ UNION ALL SELECT block_id, o, 5, 0, 0, 0, old FROM fo WHERE NOT bin AND old IS NOT NULL UNION ALL SELECT block_id, o, 6, 0, 0, 0, new FROM fo WHERE NOT bin AND new IS NOT NULL
+ UNION ALL SELECT n3.block_id, o, 7, o1, o2, 0, n3.header FROM n3 JOIN fo USING (block_id, file_no) WHERE kept AND NOT bin
+ UNION ALL SELECT b1.block_id, o, 7, o1, o2, pos, line FROM b1 JOIN n3 USING (block_id, file_no, hunk_no) JOIN fo USING (block_id, file_no) WHERE kept AND near AND NOT bin),
 tx AS (SELECT block_id, string_agg(line, chr(10) ORDER BY o, k, o1, o2, p) AS text FROM rows_ GROUP BY block_id),
-su AS (SELECT block_id, count(*) FILTER (kind = 'header') AS files, coalesce(max(additions), 0) AS additions, coalesce(max(deletions), 0) AS deletions, coalesce(max(hunks_removed), 0) AS hunks_removed FROM h2 LEFT JOIN (SELECT block_id, sum(a) AS additions, sum(d) AS deletions, count(*) FILTER (NOT kept) AS hunks_removed FROM n3 GROUP BY block_id) USING (block_id) GROUP BY block_id),
+su AS (SELECT block_id, count(*) AS files, sum(a) AS additions, sum(d) AS deletions, sum(gone)::BIGINT AS hunks_removed FROM fo GROUP BY block_id),
 ou AS (SELECT block_id, content, len(string_split(content, chr(10))) AS n_lines, su.* EXCLUDE block_id, concat(text, chr(10), '[', files, ' files changed, +', additions, ' -', deletions, ' lines', CASE WHEN hunks_removed > 0 THEN concat(', ', hunks_removed, ' hunks omitted') ELSE '' END, ']') AS text FROM {blocks} JOIN tx USING (block_id) JOIN su USING (block_id)),
 mk AS (SELECT *, len(string_split(text, chr(10))) AS m FROM ou)
 SELECT block_id, text || CASE WHEN m < n_lines * 0.8 THEN concat(chr(10), '[', n_lines, ' lines compressed to ', m, '. Retrieve full diff: hash=', md5(content)[1:24], ']') ELSE '' END AS compressed, n_lines, files, additions::BIGINT AS additions, deletions::BIGINT AS deletions, hunks_removed, CASE WHEN m < n_lines * 0.8 THEN md5(content)[1:24] END AS cache_key FROM mk"""
 
 
+_EDGE_DIFF = f"{corpora.EDGE_DIFF_SQL}, {_plain_diff_sql('edge_diff_blocks')}"
+
+
+@_query(f"WITH {_EDGE_DIFF} SELECT block_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, header, start, a AS additions, d AS deletions, score FROM hs")
+def diff_edge_hunks(spark, sf_dir):
+    return diff.diff_hunks(corpora.edge_diff_blocks(spark, sf_dir))
+
+
+@_query(f"WITH {corpora.EDGE_DIFF_SQL} SELECT * FROM ({_diff_compress_sql('edge_diff_blocks')})")
+def diff_edge_compress(spark, sf_dir):
+    """Diffs of many files: renames, modes, binaries, combined headers, no-newline lines, hunks without changes."""
+    return diff.diff_compress(corpora.edge_diff_blocks(spark, sf_dir))
+
+
 @_query(f"WITH {_PLAIN_DIFF} SELECT block_id, line_no, kind, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, md5(line) AS digest FROM h2 WHERE hunk_no > 0 AND kind IN ('hunk', 'body')")
 def diff_parse_hunks(spark, sf_dir):
     x = diff.hunk_lines(corpora.diff_blocks(spark, sf_dir)).where("hunk_no > 0 and kind in ('hunk', 'body')")

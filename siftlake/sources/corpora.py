@@ -73,3 +73,23 @@ CASE WHEN file_no = 2 THEN concat('+old  total ', k) ELSE concat('+new total ',
 DIFF_SQL = f"""diff_rows AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderkey // 60 AS block_id, (o_orderkey % 60) // 12 AS file_no, o_orderkey % 12 AS hunk_no, 10 * (o_orderkey % 12) + 1 AS s FROM orders),
 diff_named AS (SELECT *, {_DIFF_PATH} AS path, row_number() OVER (PARTITION BY block_id, file_no ORDER BY k) AS nth FROM diff_rows),
 diff_blocks AS (SELECT block_id, string_agg({_HUNK}, chr(10) ORDER BY k) || chr(10) AS content FROM diff_named GROUP BY 1)"""
+
+
+_EDGE_FILE = r"""CASE f % 6
+WHEN 0 THEN concat('diff --git a/f', f, '.txt b/f', f, '.txt{nl}index 1..2{nl}--- a/f', f, '.txt{nl}+++ b/f', f, '.txt{nl}@@ -1,8 +1,9 @@ part{nl}', repeat(' far{nl}', 4), ' near{nl}-old ', k, '{nl}', repeat(concat('+new ', c, '{nl}'), (1 + c % 5)::{int}), repeat(' after{nl}', 4), '\ No newline at end of file')
+WHEN 1 THEN concat('diff --git a/f', f, '.txt b/g', f, '.txt{nl}similarity index 90%{nl}rename from f', f, '.txt{nl}rename to g', f, '.txt')
+WHEN 2 THEN concat('diff --git a/n', f, ' b/n', f, '{nl}new file mode 100755{nl}--- /dev/null{nl}+++ b/n', f, '{nl}@@ -0,0 +1,2 @@{nl}+first ', k, '{nl}+todo ', c)
+WHEN 3 THEN concat('diff --git a/i', f, '.png b/i', f, '.png{nl}index 1..2{nl}Binary files a/i', f, '.png and b/i', f, '.png differ')
+WHEN 4 THEN concat('diff --cc m', f, '{nl}--- a/m', f, '{nl}+++ b/m', f, '{nl}@@@ -7,2 -8,2 +', 9 + c % 3, ',3 @@@ both{nl}  same{nl}++merged ', k, '{nl} -gone{nl}- gone too{nl}  same')
+ELSE concat('diff --combined d', f, '{nl}deleted file mode 100644{nl}@@@@ -1,3 -2,3 -3,3 +0,0 @@@@{nl}---', k, '{nl}@@ -5,4 +5,4 @@{nl}', repeat(' still{nl}', 3), ' still') END"""
+
+
+def edge_diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs of 30 files each in all the forms that a file may take, after a line that belongs to none."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey as c", "o_orderkey div 30 as block_id", "o_orderkey % 30 as f")
+    text = _EDGE_FILE.replace("{nl}", "\n").replace("{int}", "INT").replace("'\\ No", "'\\\\ No")
+    return joined(o.selectExpr("block_id", "k", f"{text} as line"), "k").withColumn("content", F.concat(F.lit("From a mail\n\n"), "content"))
+
+
+EDGE_DIFF_SQL = f"""edge_diff_blocks AS (SELECT block_id, concat('From a mail', chr(10), chr(10), string_agg({_EDGE_FILE.replace('{nl}', chr(10)).replace('{int}', 'INT')}, chr(10) ORDER BY k)) AS content
+ FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey // 30 AS block_id, o_orderkey % 30 AS f FROM orders) GROUP BY block_id)"""
