@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import key_md5
@@ -35,12 +35,6 @@ def get(store: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("hash").distinct().join(store, "hash").select("hash", "payload")
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old with new's keys put; for stores kept as tables."""
-    latest = Window.partitionBy("hash").orderBy(F.col("at").desc(), F.col("seq").desc())
-    return old.unionByName(new).withColumn("_n", F.row_number().over(latest)).withColumn("seq", F.min("seq").over(Window.partitionBy("hash"))).where("_n = 1").drop("_n")
-
-
 @dataclass(frozen=True)
 class StoreConfig:
     """kind "fifo" holds the last `capacity` keys; kind "table" has no capacity.  ttl_seconds None never expires."""
@@ -51,39 +45,81 @@ class StoreConfig:
     ttl_seconds: int | None = TTL_SECONDS
 
 
+def merged(puts: DataFrame) -> DataFrame:
+    """One entry for each hash: the latest payload and time, the first place in line."""
+    last = F.max_by(F.struct("payload", "at"), F.struct("at", "seq")).alias("l")
+    return puts.groupBy("hash").agg(last, F.min("seq").alias("seq")).select("hash", "l.payload", "seq", "l.at")
+
+
 class TableStore:
-    """A store kept as versions of a Parquet table below a shared path; one writer at a time.
+    """A store kept as Parquet tables below a shared path; one writer at a time.
 
-    A put writes a whole new version beside the old one and then names it in `current`, so that readers and
-    puts run again after a failure see one complete version.
+    A put to a store without capacity writes its own entries as one more part and then a list of the parts
+    that count; after `compact_after` parts they become one.  A store with a capacity is that small and is
+    written anew.  Readers follow the newest complete list, so they and puts run again after a failure see
+    whole puts.  Parts that neither of the two newest lists names are removed.
     """
 
+    compact_after = 16
+
     def __init__(self, spark: SparkSession, config: StoreConfig) -> None:
         self.spark, self.config = spark, config
 
-    def _versions(self):
+    def _folder(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.config.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.config.path}/{name}" if name else self.config.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._folder(folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _lists(self) -> list[str]:
+        """Names of the complete lists of parts, the newest last."""
+        done = []
+        for name in self._names("lists"):
+            fs, path = self._folder(f"lists/{name}/_SUCCESS")
+            if fs.exists(path):
+                done.append(name)
+        return done
+
+    def _parts(self, name: str) -> list[str]:
+        return [r["part"] for r in self.spark.read.schema("part string").parquet(f"{self.config.path}/lists/{name}").collect()]  # at most compact_after
+
+    def _now(self) -> list[str]:
+        known = self._lists()
+        return self._parts(known[-1]) if known else []
 
     def rows(self) -> DataFrame:
         """(hash, payload, seq, at), entries past their time included."""
-        fs, path = self._versions()
-        if not fs.exists(path(f"{self.config.path}/current")):
+        parts = self._now()
+        if not parts:
             return self.spark.createDataFrame([], "hash string, payload string, seq long, at long")
-        version = self.spark.read.parquet(f"{self.config.path}/current").orderBy(F.col("n").desc()).first()["version"]
-        return self.spark.read.parquet(f"{self.config.path}/{version}")
+        table = self.spark.read.parquet(*(f"{self.config.path}/parts/{p}" for p in parts))
+        return merged(table) if len(parts) > 1 else table
 
     def put(self, contents: DataFrame) -> None:
         """contents(content, seq, at), with seq greater than all before."""
-        version = f"v-{uuid.uuid4().hex}"
         new = entries(contents).select("hash", "payload", F.col("seq").cast("long"), F.col("at").cast("long"))
-        rows = upsert(self.rows(), new)
+        part, parts = f"p-{uuid.uuid4().hex}", self._now()
         if self.config.kind == "fifo":
-            rows = first_in_first_out(rows, self.config.capacity)
-        rows.write.parquet(f"{self.config.path}/{version}")
-        n = self.spark.read.parquet(f"{self.config.path}/{version}").agg(F.max("at")).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("n"))
-        n.write.mode("append").parquet(f"{self.config.path}/current")
+            new, parts = first_in_first_out(merged(self.rows().unionByName(new)), self.config.capacity), []
+        elif len(parts) + 1 >= self.compact_after:
+            new, parts = merged(self.rows().unionByName(new)), []
+        new.write.parquet(f"{self.config.path}/parts/{part}")
+        known = self._lists()
+        number = int(known[-1]) + 1 if known else 0
+        self.spark.createDataFrame([(p,) for p in [*parts, part]], "part string").coalesce(1).write.mode("overwrite").parquet(f"{self.config.path}/lists/{number:020d}")
+        self._sweep()
+
+    def _sweep(self) -> None:
+        known = self._lists()
+        used = {p for name in known[-2:] for p in self._parts(name)}
+        for folder, kept in (("lists", set(known[-2:])), ("parts", used)):
+            for name in self._names(folder):
+                if name not in kept:
+                    fs, path = self._folder(f"{folder}/{name}")
+                    fs.delete(path, True)
 
     def get(self, keys: DataFrame, now: int) -> DataFrame:
         return get(alive(self.rows(), now, self.config.ttl_seconds), keys)

@@ -73,6 +73,13 @@ def test_minify():
     assert reformat.minified("[1] x") is None and reformat.minified("[1]") is None and reformat.minified("NaN ") is None
 
 
+def test_minify_odd_strings():
+    assert reformat.minified('[ "\\ud800", 1 ]') == '["\ufffd",1]'
+    assert reformat.minified('{ "\\udfffk" : "\\ud83d\\ude00" }') == '{"\ufffdk":"\U0001f600"}'
+    assert reformat.minified('[ "a\u2028b" , 1, 2, 3, 4, 5, 6 ]') == '["a\\u2028b",1,2,3,4,5,6]'
+    assert reformat.minified("\x1c[1 , 2]") is None  # not white space that is trimmed
+
+
 def test_template():
     text = "\n".join(f"INFO worker {i} finished the job" for i in range(30)) + "\n"
     out = reformat.templated(text)
@@ -82,6 +89,12 @@ def test_template():
     assert reformat.templated("\n".join("abcdefghij"[i % 10] * (i + 1) for i in range(25))) is None
 
 
+def test_template_splits_at_white_space_only():
+    text = "\n".join(f"INFO\u00a0job a\x1cb {i} ended" for i in range(30))
+    head, *rows = reformat.templated(text).splitlines(True) if reformat.templated(text) else [""]
+    assert reformat.templated(text).split("\n")[0] == "[Template T1: INFO job a\x1cb <*> ended] (30 occurrences)"
+
+
 def test_relevance(spark):
     x = spark.createDataFrame([("alpha beta beta",), ("none",)], "item string")
     rows = relevance.bm25(x, F.lit("alpha beta")).collect()
@@ -107,6 +120,36 @@ def test_diff(spark):
     assert rows[2]["compressed"] == "diff --git a/x b/x\n+1" and rows[3]["compressed"] == "plain\n" * 60
 
 
+def test_diff_forms(spark):
+    from siftlake.config import DiffConfig
+    from siftlake.operators import diff
+
+    files = {
+        "rename": ["diff --git a/x b/y", "similarity index 95%", "rename from x", "rename to y"],
+        "binary": ["diff --git a/i.png b/i.png", "index 1..2", "Binary files a/i.png and b/i.png differ"],
+        "new": ["diff --git a/n b/n", "new file mode 100755", "--- /dev/null", "+++ b/n", "@@ -0,0 +1 @@", "+one"],
+        "three": ["diff --cc m", "--- a/m", "+++ b/m", "@@@ -1,2 -1,2 +1,3 @@@ f", "  same", "++both", "  same"],
+        "four": ["diff --combined c", "@@@@ -1 -1 -1 +1,2 @@@@", "+++all", "   x"],
+        "bare": ["diff --git a/q b/q", "--- a/q", "+++ b/q", "@@ -1,9 +1,9 @@", *[f" c{i}" for i in range(9)], "\\ No newline at end of file"],
+        "far": ["diff --git a/r b/r", "--- a/r", "+++ b/r", "@@ -1,9 +1,9 @@", "-old", "+new", *[f" d{i}" for i in range(6)], "\\ No newline at end of file", " e"],
+    }
+    text = "\n".join(["From: someone", "", *[x for f in files.values() for x in f], *["diff --git a/z b/z"] * 12, "@@ -1 +1 @@", "-1", "+2"])
+    config = DiffConfig(min_lines=10)
+    row = diff.diff_compress(spark.createDataFrame([(1, text)], "block_id long, content string"), "", config).first()
+    out = row["compressed"].split("\n")
+    assert row["files"] == 19 and row["additions"] == 4 and row["deletions"] == 2 and out[:2] == ["From: someone", ""]
+    body = "\n".join(out)
+    for want in (files["rename"], ["diff --git a/i.png b/i.png", "Binary files differ", "diff --git a/n b/n", "new file mode 100644", "--- /dev/null", "+++ b/n", "@@ -0,0 +1 @@", "+one"], files["three"],
+                 ["diff --combined c", "@@@@ -1 -1 -1 +1,2 @@@@", "+++all", "   x"], ["@@ -1,9 +1,9 @@", " c0", " c1", "diff --git a/r b/r"],
+                 ["@@ -1,9 +1,9 @@", "-old", "+new", " d0", " d1", "\\ No newline at end of file", "diff --git a/z b/z"]):
+        assert "\n".join(want) in body
+    many = "\n".join(f"diff --git a/f{i} b/f{i}\n@@ -1 +1 @@\n" + "\n".join(["+x"] * (1 + i % 7)) for i in range(25))
+    row = diff.diff_compress(spark.createDataFrame([(1, many)], "block_id long, content string"), "", config).first()
+    shown = [line for line in row["compressed"].split("\n") if line.startswith("diff ")]
+    order = sorted(range(25), key=lambda i: (-(i % 7), i))[:20]
+    assert row["files"] == 20 and shown == [f"diff --git a/f{i} b/f{i}" for i in order] and row["additions"] == sum(1 + i % 7 for i in order)
+
+
 @pytest.mark.parametrize("path,lock", [("go.sum", True), ("a/go.sum", True), ("a\\\\go.sum", True), ("xgo.sum", False), ("go.sum.bak", False), ("Cargo.lock", True)])
 def test_lockfiles(spark, path, lock):
     from siftlake.operators import diff
@@ -128,6 +171,128 @@ def test_tags(spark):
     assert back == text
 
 
+def test_tags_in_linear_time():
+    import time
+
+    from siftlake.operators import tags
+
+    began = time.perf_counter()
+    for text in ("<x " * 200_000, '<x "' * 150_000, "<x '\"" * 100_000, "<open>" * 100_000 + "</none>" * 100_000, "</x " * 150_000, "<a><b/></a>" * 60_000):
+        assert tags.protected(text)["seen"] >= 0 and tags.protected(text, True)["seen"] >= 0
+    assert time.perf_counter() - began < 30
+
+
+def _model_of_tags(text, markers):
+    """Tags one by one, as the rules say, byte after byte."""
+    names, white = "abcdefghijklmnopqrstuvwxyz", " \t\n\r\f\v"
+    spans, open_, i, orphans, custom, alone_ = [], [], 0, 0, 0, 0
+    while i < len(text):
+        j = i + 1
+        if text[i] != "<":
+            i += 1
+            continue
+        closing = text[j : j + 1] == "/"
+        j += closing
+        begin = j
+        while j < len(text) and (text[j] in names or (j > begin and text[j] in "-.:0")):
+            j += 1
+        if j == begin:
+            i += 1
+            continue
+        name, end, alone = text[begin:j], None, False
+        if closing:
+            while j < len(text) and text[j] in white:
+                j += 1
+            end = j + 1 if text[j : j + 1] == ">" else None
+        else:
+            while j < len(text):
+                if text[j] in "\"'":
+                    j = text.find(text[j], j + 1)
+                    if j < 0:
+                        break
+                elif text[j : j + 2] == "/>":
+                    end, alone = j + 2, True
+                    break
+                elif text[j] == ">":
+                    end = j + 1
+                    break
+                j += 1
+        if end is None:
+            i += 1
+            continue
+        if name not in ("b", "p"):
+            if closing:
+                k = next((k for k in reversed(range(len(open_))) if open_[k][0] == name), None)
+                if k is None:
+                    orphans += 1
+                else:
+                    start = open_[k][1]
+                    del open_[k:]
+                    if markers:
+                        spans.append((i, end))
+                    else:
+                        spans = [s for s in spans if s[0] < start] + [(start, end)]
+                        custom += 1
+            elif alone:
+                spans.append((i, end))
+                alone_ += 1
+            else:
+                open_.append((name, i))
+                if markers:
+                    spans.append((i, end))
+        i = end
+    return [text[a:b] for a, b in spans], orphans, custom, alone_
+
+
+def test_tags_against_a_model():
+    import random
+
+    from siftlake.operators import tags
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices(["<", "</", ">", "/>", "x", "b", "yy", " ", "'", '"', "-", "<x>", "</x>", "<yy q='>'>", "</yy >"], k=rng.randint(1, 25)))
+        for markers in (False, True):
+            got = tags.protected(text, markers)
+            assert ([b["original"] for b in got["blocks"]], got["orphans"], got["custom"], got["self_closing"]) == _model_of_tags(text, markers), text
+            back = got["text"]
+            for b in got["blocks"]:
+                back = back.replace(b["placeholder"], b["original"])
+            assert back == text
+
+
+def test_search_keywords_and_boost(spark):
+    from siftlake.config import SearchConfig
+
+    blocks = spark.createDataFrame([(1, "a.go:1:error in pump\na.go:2:calm pump\nb.go:3:todo")], "block_id long, content string")
+
+    def scores(**config):
+        return [r["score"] for r in search.search_matches(blocks, "pump", SearchConfig(**config)).orderBy("seq").collect()]
+
+    assert scores() == [0.8, 0.3, 0.3] and scores(boost_errors=False) == [0.3, 0.3, 0.0] and scores(keywords=("CALM",)) == [0.8, 0.7, 0.3]
+    none = search.search_matches(blocks, "", SearchConfig(), lambda line, context: scalars.signal(F.lit("plain"), context)).collect()
+    assert {r["score"] for r in none} == {0.0}
+    assert search.search_compress(blocks, "pump", SearchConfig(keywords=("calm",))).first()["n_matches"] == 3
+
+
+def test_tiers(spark):
+    def fixed(category, confidence):
+        return lambda line, context: F.struct(F.lit(category).alias("category"), F.lit(0.5).cast("float").alias("priority"), F.lit(confidence).cast("float").alias("confidence"))
+
+    def pick(*detectors):
+        return one(spark, "x", lambda c: scalars.tiers(*detectors)(c, "log")["category"])
+
+    assert pick(fixed("a", 0.4), fixed("b", 0.7), fixed("c", 0.9)) == "b"
+    assert pick(fixed("a", 0.3), fixed("b", 0.5), fixed("c", 0.4)) == "b"
+    assert pick(scalars.signal) is None
+
+
+def test_marker_kinds(spark):
+    assert one(spark, "h", lambda c: scalars.cell_marker(c, F.lit("json"), F.lit(12))) == "<<ccr:h,json,12>>"
+    assert one(spark, "h", lambda c: scalars.lossy_marker(c, F.lit(3))) == "<<ccr:h 3_rows_offloaded>>"
+    assert one(spark, "<<ccr:5d41402abc4b2a76b9719d91,json,12>>", scalars.marker_key) is None
+
+
 def test_pipeline(spark):
     from siftlake.plans.condense import condense
     from siftlake.sources.corpora import diff_blocks
@@ -193,6 +358,12 @@ def test_store_kinds(spark, tmp_path):
     table.put(puts(("a", 1, 0), ("b", 2, 7)))
     keys = table.rows().select("hash")
     assert table.count() == 2 and [r["payload"] for r in table.get(keys, 9).collect()] == ["b"]
+    table.compact_after = 4
+    for i in range(6):  # parts pile up, become one, and the old ones go
+        table.put(puts((f"x{i}", 10 + i, 8), ("a", 20 + i, 8 + i)))
+        assert table.count() == 3 + i and len(table._names("parts")) <= 8 and len(table._names("lists")) <= 2
+    rows = {r["payload"]: r for r in table.rows().collect()}
+    assert rows["a"]["seq"] == 1 and rows["a"]["at"] == 13 and len(table._now()) < 4
     with pytest.raises(ValueError):
         store.from_config(spark, store.StoreConfig("x", "redis"))
 
