@@ -35,7 +35,7 @@ def _features(texts: list[bytes], buckets: int):
 def _count(fit: dict[int, int], buckets: int):
     def run(frames):
         total = np.zeros((2, buckets), np.int64)
-        for part in C.pieces(frames, 2000, 4 << 20):
+        for part in C.pieces(frames, 1000, 1 << 20):
             doc, f = _features([C.utf8(t) for t in part["text"]], buckets)
             good = np.array([fit.get(i, 0) == 1 for i in part["doc_id"].tolist()])
             total[0] += np.bincount(f, minlength=buckets)
@@ -55,7 +55,7 @@ def _weights(texts: list[bytes], ratio: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _score(ratio: np.ndarray):
     def run(frames):
-        for part in C.pieces(frames, 2000, 4 << 20):
+        for part in C.pieces(frames, 1000, 1 << 20):
             n, weight = _weights([C.utf8(t) for t in part["text"]], ratio)
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_grams": n, "weight": weight})
 
