@@ -38,8 +38,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("passages", passage_stage),
           ("mixing", mixing_stage), ("tokens", token_stage)]
 
-#: No SQL: hashed models and the tokenizer can't be expressed; a test holds near duplicates, passages and mixing against
-#: plain Python on a small table.  Quality is compared with its own operator, tokens with the library's codec.
+#: No SQL: hashed models and the tokenizer can't be expressed.  tests/llm runs all stages in turn and holds near duplicates,
+#: passages and mixing against plain Python; quality and tokens are held against brute force and the library there too.
 ORACLE_SQL = None
 
 
