@@ -95,7 +95,7 @@ def log_compress(blocks: DataFrame, config: LogConfig = LogConfig()) -> DataFram
     """(block_id, compressed, n_lines, kept, cache_key): kept lines, what was left out, and a marker if the
     gate fires.  A block without lines stays as it is."""
     x = log_selected(blocks, config)
-    kept = F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("line_no", "line"))))
+    kept = F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("line_no", "line"))))
 
     def left(*levels: str) -> Column:
         return F.sum(F.when(~F.col("keep") & F.col("level").isin(*levels), 1).otherwise(0))

@@ -18,7 +18,7 @@ def tokens(text: Column) -> Column:
 
 def _terms(t: Column, q: Column, average: Column) -> tuple[Column, Column]:
     """Raw score and matched terms, in order."""
-    matched = F.array_sort(F.array_intersect(F.array_distinct(q), t))
+    matched = F.sort_array(F.array_intersect(F.array_distinct(q), t))
 
     def count(xs: Column, w: Column) -> Column:
         return F.size(F.filter(xs, lambda v: v == w))

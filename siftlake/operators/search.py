@@ -60,10 +60,10 @@ def search_compress(blocks: DataFrame, query: str = "", config: SearchConfig = S
     kept = search_selected(blocks, query, config, detector)
     line = F.concat_ws(":", "file", F.col("line_no").cast("string"), "content")
     per = kept.groupBy("block_id", "file").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "place", line.alias("x")))), lambda p: p["x"]), "\n").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "place", line.alias("x")))), lambda p: p["x"]), "\n").alias("text"),
         F.count("*").alias("k"), F.max("of_file").alias("n"), F.max("n_matches").alias("n_matches"), F.max("n_files").alias("n_files"))
     more = F.when(F.col("n") > F.col("k"), F.concat(F.lit("[... and "), (F.col("n") - F.col("k")).cast("string"), F.lit(" more matches in "), F.col("file"), F.lit("]")))
-    body = per.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", F.concat_ws("\n", "text", more).alias("x")))), lambda p: p["x"]), "\n").alias("body"),
+    body = per.groupBy("block_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", F.concat_ws("\n", "text", more).alias("x")))), lambda p: p["x"]), "\n").alias("body"),
                                        F.sum("k").alias("kept"), F.max("n_matches").alias("n_matches"), F.max("n_files").alias("files"))
     x = blocks.join(body, "block_id", "left")
     none = F.col("n_matches").isNull()

@@ -22,7 +22,7 @@ ELSE 'INFO click accepted' END"""
 
 def joined(lines: DataFrame, *order: str) -> DataFrame:
     """(block_id, content) from lines(block_id, order..., line)."""
-    pairs = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    pairs = F.sort_array(F.collect_list(F.struct(*order, "line")))
     return lines.groupBy("block_id").agg(F.array_join(F.transform(pairs, lambda p: p["line"]), "\n").alias("content"))
 
 
@@ -49,7 +49,7 @@ def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     line = F.expr("""concat('{\n  "brand": "', p_brand, '",\n  "key": ', p_partkey, ',\n  "size": ', p_size, '\n}')""")
     rows = p.select(F.expr("p_partkey div 20").alias("block_id"), "p_partkey", line.alias("line"))
-    pairs = F.array_sort(F.collect_list(F.struct("p_partkey", "line")))
+    pairs = F.sort_array(F.collect_list(F.struct("p_partkey", "line")))
     return rows.groupBy("block_id").agg(F.concat(F.lit("[ "), F.array_join(F.transform(pairs, lambda x: x["line"]), ", "), F.lit(" ]")).alias("content"))
 
 
