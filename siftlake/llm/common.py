@@ -6,9 +6,7 @@ words or shingles collide with probability about 2**-64 per compared pair.
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,32 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOTS: dict[str, tuple] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The run's folder below spark.checkpoint.dir; a temporary one only where that is unset and the driver runs
-    all tasks itself."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="siftlake-")
-        path = f"{base.rstrip('/')}/siftlake-{uuid.uuid4().hex}"
-        _ROOTS[app] = (path, spark)
-        atexit.register(_remove, spark, path)
-    return _ROOTS[app][0]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended already; the folder's owner clears it then
-        pass
+from ..plans.scratch import root as scratch_root
 
 
 def cut(df: DataFrame) -> DataFrame:
