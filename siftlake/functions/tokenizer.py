@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -36,6 +37,22 @@ def _encoding(path: str, name: str):
     return tiktoken.Encoding(name, pat_str=PATTERNS[name], mergeable_ranks=ranks, special_tokens={})
 
 
+#: A tokenizer: the number of tokens of a text column, as long; null stays null.
+Tokenizer = Callable[[Column], Column]
+
+
+def estimator(per_token: float = 4.0) -> Tokenizer:
+    """Characters over per_token."""
+    return lambda text: token_estimate(text, per_token)
+
+
+def tokenizer_for(model: str = "", folder: str | None = None, others: dict[str, Tokenizer] | None = None) -> Tokenizer:
+    """The tokenizer of a model: one of `others` by name, else its vocabulary file's, else the estimate."""
+    if others and model in others:
+        return others[model]
+    return lambda text: count_tokens(text, model, folder)
+
+
 def count_tokens(text: Column, model: str = "", folder: str | None = None) -> Column:
     """Tokens of text as long; null stays null.  `folder` holds `<encoding>.tiktoken` files and must be readable
     on every executor; without the model's file the count is the estimate, in the JVM alone."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LogConfig
-from ..functions.scalars import adaptive_k, adaptive_k_sql, importance, key_md5, priority
+from ..functions.scalars import Detector, adaptive_k, adaptive_k_sql, key_md5, signal
 from ..functions.text import has_word, split_lines, sql_has_word, trim
 
 #: Words of each level, in order of precedence.
@@ -114,12 +114,12 @@ def log_compress(blocks: DataFrame, config: LogConfig = LogConfig()) -> DataFram
     return full.select("block_id", text.alias("compressed"), F.col("n_lines").cast("long"), F.col("kept").cast("long"), key.alias("cache_key"))
 
 
-def log_bloat(content: Column, config: LogConfig = LogConfig()) -> Column:
-    """How repetitive and unimportant the first lines are, 0 to 1; short blocks 0."""
+def log_bloat(content: Column, config: LogConfig = LogConfig(), detector: Detector = signal) -> Column:
+    """How repetitive and unimportant (by the detector) the first lines are, 0 to 1; short blocks 0."""
     lines = split_lines(content)
     some = F.slice(lines, 1, config.bloat_sample)
     n = F.size(some)
-    low = F.size(F.filter(some, lambda x: priority(importance(x, "log")) <= F.lit(0.4).cast("float")))
+    low = F.size(F.filter(some, lambda x: detector(x, "log")["priority"] <= F.lit(0.4).cast("float")))
     score = 0.5 * (1 - F.size(F.array_distinct(some)) / n) + 0.5 * (low / n)
     return F.when(F.size(lines) >= config.store_min_lines, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0).cast("float")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOTS: dict[str, str] = {}
 
 
-def _root(spark: SparkSession) -> str:
+def root(spark: SparkSession) -> str:
     """The run's folder below spark.checkpoint.dir; a temporary one only where that is unset and the driver runs
     all tasks itself, as in tests."""
     app = spark.sparkContext.applicationId
@@ -37,6 +37,6 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, *by: str) -> DataFrame:
     """df as a table in the shared folder, in one folder for each value of the columns `by`."""
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -381,6 +381,13 @@ def test_models(spark, tmp_path):
     assert one(spark, "ababab c", lambda c: count_tokens(c, "o1", str(tmp_path))) == 2
 
 
+def test_tokenizers(spark):
+    from siftlake.functions.tokenizer import estimator, tokenizer_for
+
+    assert one(spark, "abcdefgh", estimator(2.0)) == 4 and one(spark, "abcdefgh", estimator(-1)) == 2 and one(spark, "abcdefgh", tokenizer_for("gpt-4")) == 2
+    assert one(spark, "a b c", tokenizer_for("own", others={"own": lambda c: F.size(F.split(c, " ")).cast("long")})) == 3
+
+
 def test_scorers(spark):
     x = spark.createDataFrame([("alpha beta",)], "item string")
     assert relevance.scorer("BM25")(x, F.lit("alpha")).first()["reason"].startswith("BM25")
