@@ -69,6 +69,8 @@ def _fragment(shared: bool):
         for i in np.flatnonzero(np.diff(begin)):
             s = order[begin[i] : begin[i + 1]]
             out.append((pdf["batch"].iloc[i], key[0], C.pack(h[s], doc[s], pos[s], first_doc[s])))
+        del parts, h, doc, pos, times, batch, group, first_doc, first_pos
+        C.release()
         return pd.DataFrame(out, columns=["batch", "frag", "blob"])
 
     return run

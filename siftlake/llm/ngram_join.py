@@ -112,6 +112,8 @@ def _fragment(key, pdf):
         if len(shared) or b > a:
             out.append((batch, key[0], C.pack(C.squeeze_sorted(h[at:a][shared]), parts[i][1][shared], df[at:a][shared], h[a:b], df[a:b])))
         at = b
+    del parts, hs, h, order, sorted_h, group, total, df
+    C.release()
     return pd.DataFrame(out, columns=["batch", "frag", "blob"])
 
 
@@ -153,6 +155,8 @@ def _gather(n_frag: int, percent: int):
                 rows.append((ids[i], size[i], one[i].astype(np.int64), two[i].astype(np.int64), alone, own[:lead], _parity(own), own.tobytes()))
             else:
                 rows.append((ids[i], size[i], 0, 0, 0, None, None, None))
+        del docs, hs, dfs, doc, h, df, order
+        C.release()
         return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "alone", "lead", "bits", "own"])
 
     return run
@@ -241,8 +245,8 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 75, batch_
     few = F.when(F.size("o") <= named_buckets, F.col("o"))
     members = C.cut(named.drop("lead").join(opens, "cid").select("cid", "n", "alone", "bits", "k", F.explode("o").alias("g"), few.alias("o")))
     # a large bucket is cut into parts by hash, and parts meet two by two, so that no task holds it whole
-    parts = members.groupBy("g").agg(F.ceil(F.count("*") / bucket_split).alias("of")).where("of > 1")
-    members = C.cut(members.join(parts, "g", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("cid"), "of")))
+    parts = C.cut(rest.groupBy("g").agg(F.ceil(F.count("*") / bucket_split).alias("of")).where("of > 1"))
+    members = members.join(parts, "g", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("cid"), "of"))
     upper = members.withColumn("l", F.col("c")).withColumn("r", F.explode(F.sequence(F.col("c"), F.col("of") - 1)))
     lower = members.withColumn("r", F.col("c")).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))))
     meet = F.expr("x.g = y.g and x.l = y.l and x.r = y.r and (x.l < x.r or x.cid < y.cid) and x.k <> y.k")
