@@ -146,7 +146,8 @@ def mixing_rates(documents: DataFrame, seed: str = "mix", **params) -> DataFrame
     not under `least` of all tokens in expectation; documents of cells that are wanted more often then are
     repeated.  Either way the expected marginals are the targets.  A null source or language is the
     category ''.  Texts without words weigh nothing; one copy is kept, as they change no marginal.  Equal
-    rows fare alike, and an empty table gives no rows.  Other columns aren't read.
+    rows fare alike, and an empty table gives no rows.  Other columns aren't read.  Memory: a task holds the
+    words of one text at a time, about 80 bytes each.
     """
     out = expected_copies(documents, **params)
     return out.withColumn("drawn", drawn(F.col("doc_id"), F.col("copies"), seed)).withColumn("kept", F.col("drawn") > 0)
